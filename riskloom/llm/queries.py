@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import mixing, simhash
+from riskloom.llm import hamming, html_text, line_crf, mixing, packing, simhash, token_counts, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,68 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_mix_sources)}
+def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest of each vector whose vec_id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.score(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, distance: the 10 nearest sign codes of each vector whose vec_id is divisible by 50."""
+    codes = hamming.sign_codes(_table(spark, sf_dir, "embeddings"))
+    return hamming.nearest_codes(codes, codes.where("vec_id % 50 = 0"))
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of every document."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens as loaded, n_tokens_edited after the revision's edits, and the characters encoded for them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.revision(F.col("text")).alias("edits"))
+    edited = token_counts.apply(token_counts.build(docs))
+    return edited.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_edited"), "n_chars", "n_encoded")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and the visible text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_mix_sources,
+        op3_vantage_point_search,
+        op5_line_crf_quality,
+        op6_hamming_top_k,
+        op7_harmonic_packing,
+        op9_edit_aware_token_counts,
+        op10_html_text,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_hamming_top_k": """
+        WITH v AS (
+          SELECT vec_id, embedding FROM embeddings
+          WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        c AS (
+          SELECT vec_id, string_agg(CASE WHEN x > 0 THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS code
+          FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v) u
+          WHERE i <= 64 GROUP BY vec_id),
+        p AS (
+          SELECT q.vec_id AS query_id, r.vec_id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance
+          FROM c q JOIN c r ON r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
+        FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""",
+}
