@@ -212,3 +212,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
     scored = slim.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores 0.7 or more."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(score_texts(texts, model) >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import hamming, html_text, line_crf, mixing, packing, simhash, token_counts, vptree
+from riskloom.llm import hamming, html_text, line_crf, mixing, packing, pii, simhash, token_counts, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op4_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text with surrogates, n_entities and entity_types of every document."""
+    return pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -63,6 +68,7 @@ QUERIES = {
         op1_simhash_near_dedup,
         op2_mix_sources,
         op3_vantage_point_search,
+        op4_surrogate_pii,
         op5_line_crf_quality,
         op6_hamming_top_k,
         op7_harmonic_packing,
