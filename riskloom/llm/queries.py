@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import hamming, html_text, line_crf, mixing, packing, pii, simhash, token_counts, vptree
+from riskloom.llm import hamming, html_text, line_crf, mixing, packing, pii, simhash, suffix_dedup, token_counts, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens as loaded, n_tokens_edited after the revision's edits, and the characters encoded for them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.revision(F.col("text")).alias("edits"))
@@ -72,6 +77,7 @@ QUERIES = {
         op5_line_crf_quality,
         op6_hamming_top_k,
         op7_harmonic_packing,
+        op8_suffix_array_dedup,
         op9_edit_aware_token_counts,
         op10_html_text,
     )
