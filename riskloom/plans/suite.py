@@ -1,3 +1,3 @@
 """All query modules; importing this fills the registry."""
 
-from riskloom.plans import joins  # noqa: F401
+from riskloom.plans import aggregates, joins, rowwise  # noqa: F401
