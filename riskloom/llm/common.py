@@ -64,3 +64,10 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch of ``schema`` from arrays or lists by name."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_, name__, ... that begins no column of ``df`` (in any case)."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
