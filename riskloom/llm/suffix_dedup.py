@@ -253,7 +253,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-    found = spans(texts).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # copies of a text give the same spans: once each
+    found = spans(texts).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = texts.join(found, ["t1", "t2"], "left").select("doc_id", "text", "spans")
     out = joined.mapInArrow(_removed(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
