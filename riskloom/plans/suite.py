@@ -1,3 +1,3 @@
 """All query modules; importing this fills the registry."""
 
-from riskloom.plans import aggregates, credit, joins, rowwise, scoring  # noqa: F401
+from riskloom.plans import aggregates, credit, joins, live, rowwise, scoring  # noqa: F401
