@@ -104,8 +104,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     lot = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "number", "shard", "block"), "block")
     chosen = chosen.withColumn("_lot", F.row_number().over(lot)).where("_lot <= extra").groupBy("number", "shard").agg(F.collect_list("block").alias("picked"))
     # a shard has about `shard` words, so shard / block picks at most, unless one document is longer
-    state = per_shard.select("number", "shard", F.col("passes").cast("int").alias("passes")).join(chosen, ["number", "shard"], "left")
-    out = placed.join(state, ["number", "shard"])
+    state = per_shard.select("number", "shard", F.col("passes").cast("int").alias("passes")).join(chosen.hint("merge"), ["number", "shard"], "left")
+    out = placed.join(state.hint("merge"), ["number", "shard"])  # the picks outgrow what the planner guesses: no broadcast
     last = (F.col("begin") + F.col("size") - 1) / block
     mine = F.array_sort(F.filter(F.coalesce("picked", F.array().cast("array<long>")), lambda b: (b >= F.floor(F.col("begin") / block)) & (b <= F.floor(last)) & (F.col("size") > 0)))
     spans = F.transform(mine, lambda b: F.struct(F.greatest(b * block - F.col("begin"), F.lit(0)).alias("start"), F.least((b + 1) * block - F.col("begin"), F.col("size")).alias("end")))
