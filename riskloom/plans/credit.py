@@ -209,12 +209,13 @@ def factorial_nrd(spark, d):
 def block_roundtrip(spark, d):
     """A mart saved as a block, loaded again and merged onto the applicants; rows only."""
     import tempfile
+    import uuid
 
     from riskloom.operators.aggregation import merge_blocks
     from riskloom.sources.store import load_block, save_block
 
-    # a store of a single machine's test; on a cluster the root is shared storage
-    root = tempfile.mkdtemp(prefix="spark-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = f"{shared}/blocks-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
     mart = M.previous_application(dressed(spark, d, EARLIER.replace("{days}", SPARK_DAYS), "orders"))
     mart = mart.toDF(*[c.replace(" ", "_") for c in mart.columns])
     save_block(mart, "previous_application", root, M.VERSIONS["previous_application"], {c: "all" for c in mart.columns if c != M.CLIENT})

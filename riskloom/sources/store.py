@@ -1,13 +1,18 @@
-"""A store of feature blocks: Parquet plus a manifest that is written last and checked on every load; other artifacts."""
+"""A store of feature blocks: Parquet plus a manifest that is written last and checked on every load; other artifacts.
+
+Blocks and manifests are read and written by Spark, so a root can be any place that Spark reaches. Each save writes a
+new data folder; the manifest that names it comes last, so readers see the old block or the new one.
+"""
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +24,8 @@ class StoreError(ValueError):
 
 
 def block_paths(root: str, name: str) -> tuple[str, str]:
-    return f"{root}/{name}.parquet", f"{root}/{name}.manifest.json"
+    """The folder of a block's data and its manifest."""
+    return f"{root}/{name}", f"{root}/{name}.manifest"
 
 
 def _key_counts(df: DataFrame, key: str) -> tuple[int, int, int]:
@@ -42,27 +48,34 @@ def save_block(df: DataFrame, name: str, root: str, builder_version: str, famili
     for bad, text in faults:
         if bad:
             raise StoreError(f"{name}: {text}")
-    data, manifest = block_paths(root, name)
+    folder, manifest = block_paths(root, name)
     rows, missing, repeated = _key_counts(df, key)
     if missing or repeated:
         raise StoreError(f"{name}: {missing} missing and {repeated} repeated keys")
-    Path(manifest).unlink(missing_ok=True)
-    df.write.mode("overwrite").parquet(data)
-    said = {"name": name, "builder_version": builder_version, "key": key, "columns": df.columns, "types": dict(df.dtypes), "families": families, "rows": rows, "created": datetime.now(UTC).isoformat()}
-    Path(f"{manifest}.new").write_text(json.dumps(said, indent=2))
-    os.replace(f"{manifest}.new", manifest)
+    data = f"{folder}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(data)
+    said = {"name": name, "data": data, "builder_version": builder_version, "key": key, "columns": df.columns, "types": dict(df.dtypes), "families": families, "rows": rows, "created": datetime.now(UTC).isoformat()}
+    df.sparkSession.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
     return said
 
 
+def manifests(spark: SparkSession, root: str, name: str = "*") -> dict[str, dict[str, Any]]:
+    """The manifests in a root, by block."""
+    try:
+        lines = spark.read.text(block_paths(root, name)[1]).collect()
+    except AnalysisException:
+        return {}
+    return {m["name"]: m for m in (json.loads(r.value) for r in lines)}
+
+
 def load_block(spark: SparkSession, name: str, root: str, builder_version: str | None = None) -> tuple[DataFrame, dict[str, Any]]:
     """The block and its manifest; another version, other columns, another row count or a repeated key raises."""
-    data, manifest = block_paths(root, name)
-    if not os.path.exists(manifest):
+    said = manifests(spark, root, name).get(name)
+    if said is None:
         raise StoreError(f"{name}: no manifest in {root}")
-    said = json.loads(Path(manifest).read_text())
     if builder_version is not None and said["builder_version"] != builder_version:
         raise StoreError(f"{name}: built by {said['builder_version']}, wanted {builder_version}")
-    df = spark.read.parquet(data)
+    df = spark.read.parquet(said["data"])
     if df.columns != said["columns"]:
         raise StoreError(f"{name}: columns differ from the manifest: {sorted(set(df.columns) ^ set(said['columns']))}")
     rows, missing, repeated = _key_counts(df, said["key"])
@@ -71,9 +84,8 @@ def load_block(spark: SparkSession, name: str, root: str, builder_version: str |
     return df, said
 
 
-def list_blocks(root: str) -> list[str]:
-    folder = Path(root)
-    return sorted(p.name.removesuffix(".manifest.json") for p in folder.glob("*.manifest.json")) if folder.is_dir() else []
+def list_blocks(spark: SparkSession, root: str) -> list[str]:
+    return sorted(manifests(spark, root))
 
 
 def export_csv(df: DataFrame, path: str) -> None:

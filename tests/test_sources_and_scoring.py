@@ -3,7 +3,6 @@
 import json
 import math
 import zipfile
-from pathlib import Path
 
 import duckdb
 import pytest
@@ -63,14 +62,13 @@ def block(spark):
 
 def test_store_round_trip(spark, tmp_path):
     root, families = str(tmp_path), {"COUNT": "counts", "SUM": "amounts"}
-    assert B.list_blocks(f"{root}/none") == []
+    assert B.list_blocks(spark, f"{root}/none") == []
     B.save_block(block(spark), "b", root, "b-v1", families)
     df, said = B.load_block(spark, "b", root, "b-v1")
-    assert said["rows"] == 3 and df.orderBy("SK_ID_CURR").collect() == block(spark).collect() and B.list_blocks(root) == ["b"]
+    assert said["rows"] == 3 and df.orderBy("SK_ID_CURR").collect() == block(spark).collect() and B.list_blocks(spark, root) == ["b"]
     with pytest.raises(B.StoreError, match="built by"):
         B.load_block(spark, "b", root, "b-v2")
-    manifest = Path(B.block_paths(root, "b")[1])
-    manifest.write_text(json.dumps(said | {"rows": 4}))
+    spark.createDataFrame([(json.dumps(said | {"rows": 4}),)], "value string").write.mode("overwrite").text(B.block_paths(root, "b")[1])
     with pytest.raises(B.StoreError, match="rows"):
         B.load_block(spark, "b", root)
     for bad, version, own in ((block(spark).union(block(spark)), "v", families), (block(spark), "", families), (block(spark), "v", {"COUNT": "c"}), (block(spark).withColumn("SK_ID_CURR", F.lit(None).cast("long")), "v", families)):
