@@ -13,6 +13,7 @@ Spark: exact as well, at any size.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from riskloom.llm.suffix_array import common_prefixes, suffix_array
 
 SPAN, WINDOW, GRAM = 400, 192, 8
 KEY = SPAN - WINDOW
-SEGMENT, SHARD, GROUP = 8 << 20, 1 << 20, 8 << 20
+SEGMENT, SHARD, GROUP, STEP = 8 << 20, 1 << 20, 8 << 20, 16
 
 
 def anchors(parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,8 +98,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrow_rows(CONTEXTS, **numbers, key=_signed(rows["key"]), context=_signed(rows["context"]))
 
 
-TEXTS = pa.schema([(c, pa.int64()) for c in ("key", "context", "many", "t1", "t2", "first", "last")] + [("text", pa.binary())])
-TEXTS_DDL = "key long, context long, many long, t1 long, t2 long, first long, last long, text binary"
+TEXTS = pa.schema([(c, pa.int64()) for c in ("key", "context", "many", "t1", "t2", "first", "last", "anchor")] + [("text", pa.binary())])
+TEXTS_DDL = "key long, context long, many long, t1 long, t2 long, first long, last long, anchor long, text binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {c: [] for c in TEXTS.names}
         for row in batch.to_pylist():
             for w in row["wanted"]:
-                for c in ("key", "context", "many", "first", "last"):
+                for c in ("key", "context", "many", "first", "last", "anchor"):
                     rows[c].append(w[c])
                 rows["t1"].append(row["t1"])
                 rows["t2"].append(row["t2"])
@@ -119,14 +120,42 @@ FOUND = pa.schema([(c, pa.int64()) for c in ("t1", "t2", "start", "end", "many",
 FOUND_DDL = "t1 long, t2 long, start long, end long, many long, h1 long, h2 long"
 
 
+def narrowed(group: list[tuple]) -> list[tuple]:
+    """The parts of a key's contexts whose windows may repeat.
+
+    Windows that begin j * STEP to (j + 1) * STEP - 1 bytes before the anchor all hold the same 385 bytes of their
+    context. Where no other context of the key has those, none of these windows repeats.
+    """
+    inner = SPAN - STEP + 1
+    ranges, seen = [], Counter()
+    for row in group:
+        off, text = row[7] - row[5], row[8]
+        own = [(j, xxhash.xxh3_64_intdigest(text[off - j * STEP : off - j * STEP + inner])) for j in range((row[7] - row[6]) // STEP, off // STEP + 1)]
+        ranges.append(own)
+        seen.update(own)
+    out = []
+    for row, own in zip(group, ranges, strict=True):
+        off, text = row[7] - row[5], row[8]
+        begin = end = None
+        for j, h in reversed(own):  # from the first window on
+            low, high = max(0, off - (j + 1) * STEP + 1), min(row[6] - row[5], off - j * STEP)
+            if seen[j, h] > 1:
+                begin = low if begin is None else begin
+                end = high
+            if begin is not None and (seen[j, h] < 2 or j == own[0][0]):
+                out.append((*row[:5], row[5] + begin, row[5] + end, row[7], text[begin : end + SPAN]))
+                begin = None
+    return out
+
+
 def repeats(rows: list[tuple]) -> Iterator[tuple]:
-    """Of distinct contexts (.., many, t1, t2, first, last, text) in one shard: runs of repeated windows as (t1, t2,
-    start, end), for contexts that occur once (of others it is known)."""
+    """Of distinct contexts (.., many, t1, t2, first, last, anchor, text) in one shard: runs of repeated windows as
+    (t1, t2, start, end), for contexts that occur once (of others it is known)."""
     t, stretches, at = [], [], 0
     for row in rows:
-        t += [np.frombuffer(row[7], np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
+        t += [np.frombuffer(row[8], np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
         stretches.append((at, at + row[6] - row[5] + 1))
-        at += len(row[7]) + 1
+        at += len(row[8]) + 1
     t = np.concatenate([*t, np.zeros(1, np.int64)])
     before, shared = common_prefixes(t, suffix_array(t, 258), stretches, SPAN)
     hit = shared >= SPAN
@@ -144,7 +173,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def windows() -> pa.RecordBatch:
         out: dict[str, list] = {c: [] for c in FOUND.names}
-        for _, _, many, t1, t2, first, _, text in group:
+        for _, _, many, t1, t2, first, _, _, text in group:
             for p in range(len(text) - SPAN + 1):
                 h = xxhash.xxh3_128_digest(text[p : p + SPAN])
                 for c, v in zip(FOUND.names, (t1, t2, first + p, first + p + SPAN, many, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)), strict=True):
@@ -161,9 +190,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal group, group_size, shard_size, shard, spilling
         if spilling:
             yield windows()
-        elif len(group) > 1 and any(r[2] == 1 for r in group) or len(group) == 1 and group[0][2] == 1:
-            shard += group
-            shard_size += group_size
+        elif len(group) > 1 and any(r[2] == 1 for r in group):
+            parts = narrowed(group)
+            shard += parts
+            shard_size += sum(len(r[8]) for r in parts)
             if shard_size >= SHARD:
                 yield spans()
                 shard, shard_size = [], 0
@@ -178,7 +208,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             context = row[1]
             group.append(row)
-            group_size += len(row[7])
+            group_size += len(row[8])
             if group_size > GROUP:
                 spilling = True
                 yield windows()
@@ -195,11 +225,11 @@ def spans(texts: DataFrame) -> DataFrame:
     again = stage(found.join(keys.select("key", "mixed"), "key"), "repeats-again")
     covered = lambda df: df.select("t1", "t2", F.col("first").alias("start"), (F.col("last") + SPAN).alias("end"))
     mixed = again.where("mixed")
-    distinct = stage(mixed.groupBy("key", "context").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "first", "last")).alias("one")), "repeats-distinct")
+    distinct = stage(mixed.groupBy("key", "context").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")), "repeats-distinct")
     often = mixed.join(distinct.where("many > 1").select("key", "context"), ["key", "context"], "left_semi")
     # contexts that occur once, and those they may meet
     open_keys = distinct.where("many = 1").select("key").distinct()
-    wanted = distinct.join(open_keys, "key", "left_semi").groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("key", "context", "many", "one.first", "one.last")).alias("wanted"))
+    wanted = distinct.join(open_keys, "key", "left_semi").groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("key", "context", "many", "one.first", "one.last", "one.anchor")).alias("wanted"))
     named = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(named, ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2", "doc_id": "w_doc"})
     same = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_doc"))
