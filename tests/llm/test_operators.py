@@ -410,7 +410,7 @@ def test_keys_with_many_contexts_are_counted_by_window(spark, monkeypatch):
     rows = []
     for k, t in enumerate(texts):
         for first, last, anchor in zip(*map(np.ndarray.tolist, suffix_dedup.anchors([t])[0])):
-            rows.append((xxhash.xxh3_64_intdigest(t[anchor : anchor + suffix_dedup.KEY]) >> 1, k * 1000 + first, 1, k, 0, first, last, t[first : last + 400]))
+            rows.append((xxhash.xxh3_64_intdigest(t[anchor : anchor + suffix_dedup.KEY]) >> 1, k * 1000 + first, 1, k, 0, first, last, anchor, t[first : last + 400]))
     rows.sort(key=lambda r: r[:2])
     counts = Counter(r[0] for r in rows)
     rows = [r for r in rows if counts[r[0]] > 1]
