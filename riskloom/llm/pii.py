@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stage
+from riskloom.llm.common import stage, unused
 
 KEY, LITERALS = "riskloom-surrogates", 500
 
@@ -41,12 +41,16 @@ SURNAMES = {
 }
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-LIKELY = r"[0-9@]|[A-Za-z0-9_-]{16}|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\b|Господин|Госпожа"
+# Without a digit or @, only these begin an entity; looking for them is far cheaper than the patterns.
+OPENERS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа", "sk-", "sk_", "pk-", "pk_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "ghp-", "gho-", "ghu-", "ghs-", "ghr-", "xox", "AKIA")
 
 
 def found(text: Column) -> Column:
-    """All entities of a text, in order; none for null."""
-    return F.when(text.rlike(LIKELY), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
+    """All entities of a text, in order; none for null. A secret without any digit is a word."""
+    likely = text.rlike("[0-9@]")
+    for opener in OPENERS:
+        likely = likely | text.contains(opener)
+    return F.when(likely, F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def kind(value: Column) -> Column:
@@ -64,88 +68,112 @@ def canonical(value: Column, of: Column) -> Column:
     return F.concat_ws(":", of, plain.when(of.isin("man", "woman"), name).when(of == "iban", F.regexp_replace(value, " ", "")).when(of == "key", value).otherwise(F.lower(value)))
 
 
-def _stream(entity: Column, attempt: Column, key: str) -> Column:
-    """64 numbers from 0 to 255 as hexadecimal text."""
-    return F.sha2(F.concat_ws("|", F.lit(key), attempt.cast("string"), entity), 512)
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _number(stream: Column, at: Column) -> Column:
+    """From 0 to 255: one of the 64 numbers of a stream."""
     return F.conv(F.substr(stream, F.lit(2) * F.pmod(at, F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _characters(value: Column, stream: Column, hexadecimal: bool = False, keep: Column | None = None) -> Column:
-    """Letters and digits replaced one by one, by letters of the same case and digits; ``keep``: as many stay at first."""
-    letters = 6 if hexadecimal else 26
+def _characters(value: Column, stream: Column, letters: int = 26, keep: int = 0, shift: int = 0) -> Column:
+    """Letters and digits replaced one by one, by letters of the same case and digits; the first ``keep`` stay."""
 
     def one(i: Column) -> Column:
         c = F.substr(value, i, F.lit(1))
-        n = _number(stream, i)
-        pick = lambda of, many: F.substr(F.lit(of), F.pmod(n, F.lit(many)) + 1, F.lit(1))
-        new = F.when(F.lit(DIGITS).contains(c), pick(DIGITS, 10)).when(F.lit(LOWER).contains(c), pick(LOWER, letters)).when(F.lit(UPPER).contains(c), pick(UPPER, letters)).otherwise(c)
-        return new if keep is None else F.when(i <= keep, c).otherwise(new)
+        pick = lambda of, many: F.substr(F.lit(of), F.pmod(_number(stream, i + shift), F.lit(many)) + 1, F.lit(1))
+        new = lambda c: F.when(F.lit(DIGITS).contains(c), pick(DIGITS, 10)).when(F.lit(LOWER).contains(c), pick(LOWER, letters)).when(F.lit(UPPER).contains(c), pick(UPPER, letters)).otherwise(c)
+        return F.when(i > keep, let(c, new)).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
 
-def _digits(value: Column, stream: Column, most: int, fixed: bool) -> Column:
-    """The last ``most`` digits replaced by their place from the right, so separators and country codes stay.
-
-    ``fixed``: the first digit stays, and the last one makes the check sum right where it was right.
-    """
+def _digits(value: Column, stream: Column, most: int, keep: int = 0) -> Column:
+    """The last ``most`` digits replaced by their place from the right, so separators and country codes stay."""
 
     def one(i: Column) -> Column:
-        c = F.substr(value, i, F.lit(1))
         place = F.length(F.regexp_replace(F.substr(value, i), "[^0-9]", ""))
-        new = F.substr(F.lit(DIGITS), F.pmod(_number(stream, place), F.lit(10)) + 1, F.lit(1))
-        stays = (place > most) | ((i == 1) if fixed else F.lit(False))
-        return F.when(F.lit(DIGITS).contains(c) & ~stays, new).otherwise(c)
+        new = lambda n: F.substr(F.lit(DIGITS), F.pmod(_number(stream, n), F.lit(10)) + 1, F.lit(1))
+        c = F.substr(value, i, F.lit(1))
+        return F.when(F.lit(DIGITS).contains(c) & (i > keep), let(place, lambda n: F.when(n <= most, new(n)).otherwise(c))).otherwise(c)
 
-    made = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
-    if not fixed:
-        return made
-    last = F.pmod(10 - F.pmod(_luhn(F.concat(F.substr(made, F.lit(1), F.length(made) - 1), F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(F.pmod(_luhn(value), F.lit(10)) == 0, F.concat(F.substr(made, F.lit(1), F.length(made) - 1), last)).otherwise(made)
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
 
 def _luhn(value: Column) -> Column:
-    digits = F.reverse(F.regexp_replace(value, "[^0-9]", ""))
-    numbers = F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 1, F.pmod(c.cast("int") * 2, F.lit(10)) + F.floor(c.cast("int") * 2 / 10)).otherwise(c.cast("int")).cast("int"))
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-
-
-def surrogate(value: Column, of: Column, attempt: Column, key: str = KEY) -> Column:
-    """The entity that takes the place of ``value``."""
-    stream = _stream(canonical(value, of), attempt, key)
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    top = F.length(F.substring_index(domain, ".", -1)) + 1
-    host = F.substr(domain, F.lit(1), F.length(domain) - top)
-    email = F.concat(_characters(local, stream), F.lit("@"), _characters(host, F.sha2(stream, 512)), F.substr(domain, F.length(domain) - top + 1))
+    digits = F.split(F.reverse(F.regexp_replace(value, "[^0-9]", "")), "")
+    one = lambda n, i: F.when(i % 2 == 1, F.pmod(n * 2, F.lit(10)) + F.floor(n * 2 / 10)).otherwise(n)
+    return F.aggregate(F.transform(digits, lambda c, i: one(F.coalesce(c.try_cast("int"), F.lit(0)), i).cast("int")), F.lit(0), lambda a, x: a + x)
+
+
+def _card(value: Column, stream: Column) -> Column:
+    """The first digit stays; the last makes the check sum right where it was right."""
+
+    def checked(made: Column) -> Column:
+        body = F.substr(made, F.lit(1), F.length(made) - 1)
+        last = F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+        return F.when(F.pmod(_luhn(value), F.lit(10)) == 0, F.concat(body, last)).otherwise(made)
+
+    return let(_digits(value, stream, 99, keep=1), checked)
+
+
+def _email(value: Column, stream: Column) -> Column:
+    """The top-level domain stays."""
+    domain = F.substring_index(value, "@", -1)
+    top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
+    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
+    return F.concat(_characters(F.substring_index(value, "@", 1), stream), F.lit("@"), _characters(host, stream, shift=32), top)
+
+
+def _name(value: Column, stream: Column, gender: str, letters: str, attempt: Column) -> Column:
+    """Title and number of names stay."""
+    pick = lambda of, k: F.element_at(F.array(*map(F.lit, of)), F.pmod(_number(stream, F.lit(k)), F.lit(len(of))) + 1)
+    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.translate(F.substr(stream, F.lit(9), F.lit(3)), "0123456789", "ghklmnoprs")))).otherwise("")
+    title, family = F.regexp_extract(value, r"^(\p{L}+\.? )", 1), F.concat(pick(SURNAMES[letters], 2), more)
+    return F.when(value.rlike(r"^\p{L}+\.? \S+ \S"), F.concat(title, pick(NAMES[gender, letters], 1), F.lit(" "), family)).otherwise(F.concat(title, family))
+
+
+def _surrogate(m: Column) -> Column:
+    """What takes the place of a mention (value, of, attempt, stream)."""
+    value, of, stream = m["value"], m["of"], m["stream"]
     octets = [(F.pmod(_number(stream, F.lit(k)), F.lit(223 if k == 0 else 254)) + 1).cast("string") for k in range(4)]
-    out = F.when(of == "email", email).when(of == "ip", F.concat_ws(".", *octets))
-    out = out.when(of == "secret", _characters(value, stream, hexadecimal=True)).when(of == "key", _characters(value, stream, keep=F.lit(4)))
-    out = out.when(of == "iban", _characters(value, stream, keep=F.lit(2))).when(of == "card", _digits(value, stream, 99, True)).when(of == "ssn", _digits(value, stream, 99, False))
-    script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    for (gender, letters), given in NAMES.items():
-        title = F.regexp_extract(value, r"^(\p{L}+\.? )", 1)
-        family = F.concat(F.element_at(F.array(*map(F.lit, SURNAMES[letters])), F.pmod(_number(stream, F.lit(2)), F.lit(len(SURNAMES[letters]))) + 1), F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.translate(F.substr(stream, F.lit(9), F.lit(3)), "0123456789", "ghklmnoprs")))).otherwise(F.lit("")))
-        first = F.element_at(F.array(*map(F.lit, given)), F.pmod(_number(stream, F.lit(1)), F.lit(len(given))) + 1)
-        full = F.when(value.rlike(r"^\p{L}+\.? \S+ \S"), F.concat(title, first, F.lit(" "), family)).otherwise(F.concat(title, family))
-        out = out.when((of == gender) & (script == letters), full)
-    return out.otherwise(_digits(value, stream, 10, False))
+    out = F.when(of == "email", _email(value, stream)).when(of == "ip", F.concat_ws(".", *octets)).when(of == "card", _card(value, stream))
+    out = out.when(of == "secret", _characters(value, stream, letters=6)).when(of == "key", _characters(value, stream, keep=4)).when(of == "iban", _characters(value, stream, keep=2))
+    for gender, letters in NAMES:
+        script = value.rlike(r"\p{IsCyrillic}") == (letters == "cyrillic")
+        out = out.when((of == gender) & script, _name(value, stream, gender, letters, m["attempt"]))
+    return out.when(of == "ssn", _digits(value, stream, 99)).otherwise(_digits(value, stream, 10))
+
+
+def mentions(text: Column) -> Column:
+    """All mentions of a text, in order: value, of (the type), entity (what all its mentions share)."""
+    typed = F.transform(found(text), lambda v: F.struct(v.alias("value"), kind(v).alias("of")))
+    return F.transform(typed, lambda m: F.struct(m["value"].alias("value"), m["of"].alias("of"), canonical(m["value"], m["of"]).alias("entity")))
+
+
+def surrogates(named: Column, attempt, key: str = KEY) -> Column:
+    """The surrogates of mentions, at the attempt that ``attempt`` gives for an entity."""
+    tried = F.transform(named, lambda m: F.struct(*[m[c].alias(c) for c in ("value", "of", "entity")], attempt(m["entity"]).alias("attempt")))
+    stream = lambda m: F.sha2(F.concat_ws("|", F.lit(key), m["attempt"].cast("string"), m["entity"]), 512)
+    keyed = F.transform(tried, lambda m: F.struct(*[m[c].alias(c) for c in ("value", "of", "attempt")], stream(m).alias("stream")))
+    return F.transform(keyed, _surrogate)
 
 
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
     """entity and attempt (over 0) of those whose first surrogate meets another one's or an entity of the corpus."""
-    mentions = docs.select(F.explode(found(F.col("text"))).alias("value")).groupBy("value").agg(F.lit(1).alias("one")).select("value", kind(F.col("value")).alias("of"))
-    # one spelling stands for an entity; attempts go to the entity
-    entities = stage(mentions.withColumn("entity", canonical(F.col("value"), F.col("of"))).groupBy("entity").agg(F.min("value").alias("value"), F.min("of").alias("of")), "pii-entities")
+    every = docs.select(F.explode(mentions(F.col("text"))).alias("m")).select("m.*")
+    entities = stage(every.groupBy("entity").agg(F.min("value").alias("value"), F.min("of").alias("of")), "pii-entities")
     now, tries = entities.withColumn("attempt", F.lit(0)), 0
     while True:
-        made = now.withColumn("made", canonical(surrogate(F.col("value"), F.col("of"), F.col("attempt"), key), F.col("of")))
+        one = F.array(F.struct("value", "of", "entity"))
+        new = F.element_at(surrogates(one, lambda entity: F.col("attempt"), key), 1)
+        made = stage(now.withColumn("made", canonical(new, F.col("of"))), "pii-made")
         met = made.join(entities.select(F.col("entity").alias("made")), "made", "left_semi").select("entity")
         turn = F.row_number().over(Window.partitionBy("made").orderBy("attempt", "entity"))
         again = made.withColumn("turn", turn).where("turn > 1").select("entity").union(met).distinct().withColumn("again", F.lit(1))
-        now = stage(now.join(again, "entity", "left").select("entity", "value", "of", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempts")
+        now = stage(made.join(again, "entity", "left").select("entity", "value", "of", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempts")
         tries += 1
         if now.where(F.col("attempt") == tries).isEmpty():
             return now.where("attempt > 0").select("entity", "attempt")
@@ -157,30 +185,28 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     All columns and rows stay, repeated ones too. Null and empty texts stay as they are, with no entities; texts
     without entities stay byte for byte. n_chars, if there, follows the new text.
     """
-    again = collisions(docs, key)
+    again, own = collisions(docs, key), unused(docs, "pii")
+    seen, hashed, tries = (f"{own}_{x}" for x in ("seen", "hash", "tries"))
     few = again.limit(LITERALS + 1).collect()
     columns = [c for c in docs.columns if c not in ("n_entities", "entity_types")]
-    rows = docs.select(*columns, found(F.col("text")).alias("_found"))
+    rows = docs.select(*columns, mentions(F.col("text")).alias(seen))
     if not few:
         attempt = lambda entity: F.lit(0)
     elif len(few) <= LITERALS:
-        attempts = F.create_map(*[F.lit(x) for r in few for x in (r.entity, r.attempt)])
-        attempt = lambda entity: F.coalesce(F.element_at(attempts, entity), F.lit(0))
+        known = F.create_map(*[F.lit(x) for r in few for x in (r.entity, r.attempt)])
+        attempt = lambda entity: F.coalesce(F.try_element_at(known, entity), F.lit(0))
     else:
         # many: each text with such an entity gets its own small map, by a join on the text's hash
-        rows = rows.withColumn("_hash", F.sha2(F.col("text"), 256))
-        theirs = rows.where(F.size("_found") > 0).select("_hash", F.explode("_found").alias("value")).distinct()
-        theirs = theirs.withColumn("entity", canonical(F.col("value"), kind(F.col("value")))).join(again, "entity")
-        maps = theirs.groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_map"))
-        rows = rows.join(maps, "_hash", "left")
-        attempt = lambda entity: F.coalesce(F.element_at(F.coalesce("_map", F.create_map().cast("map<string,int>")), entity), F.lit(0))
-    typed = F.transform("_found", lambda v: kind(v))
-    new = F.transform("_found", lambda v: surrogate(v, kind(v), attempt(canonical(v, kind(v))), key))
+        rows = rows.withColumn(hashed, F.sha2(F.col("text"), 256))
+        theirs = rows.where(F.size(seen) > 0).select(hashed, F.explode(F.array_distinct(F.transform(seen, lambda m: m["entity"]))).alias("entity")).distinct()
+        maps = theirs.join(again, "entity").groupBy(hashed).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(tries))
+        rows = rows.join(maps, hashed, "left")
+        attempt = lambda entity: F.coalesce(F.try_element_at(F.col(tries), entity), F.lit(0))
     between = F.split(F.col("text"), ANY, -1)
-    rebuilt = F.array_join(F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, new))
-    text = F.when(F.size("_found") > 0, rebuilt).otherwise(F.col("text"))
-    out = rows.select(*[c for c in columns if c not in ("text", "n_chars")], text.alias("text"), F.size("_found").alias("n_entities"), typed.alias("entity_types"))
+    rebuilt = F.array_join(F.zip_with(between, surrogates(F.col(seen), attempt, key), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.when(F.size(seen) > 0, rebuilt).otherwise(F.col("text"))
+    types = F.transform(seen, lambda m: m["of"])
+    out = rows.select(*[c for c in columns if c not in ("text", "n_chars")], text.alias("text"), F.size(seen).alias("n_entities"), types.alias("entity_types"), *[c for c in columns if c == "n_chars"])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns, "n_entities", "entity_types")
