@@ -22,7 +22,7 @@ from riskloom.llm import tokens
 from riskloom.llm.common import arrow_rows, pieces, ship, stage
 
 CAPACITY, SMALLEST, END = 2048, 64, 1
-SHARD = 512 * CAPACITY
+SHARD = 128 * CAPACITY
 
 CUTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("tail", pa.binary())])
 
