@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import blocks
 
-LEAF, RELAX, NEAREST = 64, 1.1, 10
+LEAF, RELAX, NEAREST = 128, 1.1, 10
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,6 +88,8 @@ def knn(index: tuple, asked: tuple, k: int, relax: float) -> tuple[np.ndarray, n
             begin, end = node
             d = distances(queries[q], points[begin:end])
             d[ids[None, begin:end] == names[q, None]] = np.inf
+            better = d.min(axis=1) <= best_d[q, -1]  # equal ones may have smaller ids
+            q, d = q[better], d[better]
             all_d = np.concatenate((best_d[q], d), axis=1)
             all_id = np.concatenate((best_id[q], np.broadcast_to(ids[begin:end], d.shape)), axis=1)
             by = np.lexsort((all_id, all_d), axis=1)[:, :k]
