@@ -2,7 +2,8 @@
 
 Everything is DataFrame work. Documents of a source lie in seeded order on tapes (shards) of about ``SHARD`` words; a
 tape is cut into blocks of ``BLOCK`` words. The mix's blocks go to sources by highest quotients target / (2 s + 1), a
-source's blocks to its shards likewise, and a shard's quota picks blocks by a seeded permutation, whole passes first.
+source's blocks to batches of its shards and then to the shards likewise, and a shard's quota picks blocks by a seeded
+permutation, whole passes first.
 Only quotients near the divisor are listed: a divisor over the true one gives seats that are certain, one below it
 gives seats that suffice, and at most two per party lie between.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import join_small, stage
+from riskloom.llm.common import join_small, stage, unused
 
 WEIGHTS, TOTAL, CEILING = (3, 1, 2), 1.5, 2.0
-BLOCK, SHARD, SEED = 64, 65_536, 17
+BLOCK, SHARD, BATCH, SEED = 64, 65_536, 4096, 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,8 +98,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     seats = seats.withColumn("most", F.ceil(F.col("source_size") * ceiling / block) + 1)
     per_source = apportion(seats, ["mix"], "seats", "target", ["number"], "most").select("number", F.col("quota").alias("source_quota"))
     shards = placed.groupBy("number", "shard").agg(F.sum("size").cast("double").alias("words"))
-    shards = shards.join(per_source, "number").withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("most", F.floor(F.col("blocks") * ceiling))
-    per_shard = stage(apportion(shards, ["number"], "source_quota", "words", ["shard"], "most").select("number", "shard", "blocks", "quota"), "mix-quotas")
+    shards = shards.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("most", F.floor(F.col("blocks") * ceiling)).withColumn("batch", F.expr(f"shard div {BATCH}"))
+    shards = stage(shards, "mix-shards")
+    # a source's quota goes to batches of shards, a batch's to its shards: no window holds all shards of a source
+    batches = shards.groupBy("number", "batch").agg(F.sum("words").alias("words"), F.sum("most").alias("most")).join(per_source, "number")
+    per_batch = apportion(batches, ["number"], "source_quota", "words", ["batch"], "most").select("number", "batch", F.col("quota").alias("batch_quota"))
+    per_shard = stage(apportion(shards.join(per_batch, ["number", "batch"]), ["number", "batch"], "batch_quota", "words", ["shard"], "most").select("number", "shard", "blocks", "quota"), "mix-quotas")
     per_shard = per_shard.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0))).withColumn("extra", F.col("quota") - F.col("passes") * F.col("blocks"))
     chosen = per_shard.where("extra > 0").select("number", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     lot = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "number", "shard", "block"), "block")
@@ -116,18 +121,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document ``passes`` times, and once its spans' words."""
-    plan = mix(docs, **how)
-    key = [F.col("doc_id").eqNullSafe(F.col("p_doc_id")), F.col("source").eqNullSafe(F.col("p_source"))]
-    plan = plan.select(F.col("doc_id").alias("p_doc_id"), F.col("source").alias("p_source"), "passes", "spans", "size")
-    # repeated ids: the n-th row of an id meets the n-th plan of that id and size
+    own = unused(docs, "mix")
+    plan = mix(docs, **how).select(*[F.col(c).alias(f"{own}_{c}") for c in ("doc_id", "source", "size", "passes", "spans")])
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    nth = lambda df, *by: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1))))
-    left = nth(docs.withColumn("_size", words), "doc_id", "source", "_size")
-    right = nth(plan, "p_doc_id", "p_source", "size").withColumnRenamed("_nth", "p_nth")
-    both = left.join(right, [*key, F.col("_size") == F.col("size"), F.col("_nth") == F.col("p_nth")])
-    tokens = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
-    part = F.when(F.size("spans") > 0, F.array(F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(tokens, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")))
-    copies = F.concat(F.array_repeat(F.col("text"), F.col("passes")), F.coalesce(part, F.array().cast("array<string>")))
+    keys = [f"{own}_doc_id", f"{own}_source", f"{own}_size"]
+    # the n-th row of an id, source and size meets the n-th plan of them: only repeated rows have a second
+    nth = lambda df, *by: df.withColumn(f"{own}_nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1))))
+    left = docs.withColumn(f"{own}_words", words)
+    repeated = not plan.groupBy(*keys).count().where("count > 1").isEmpty()
+    if repeated:
+        left = nth(left, "doc_id", "source", f"{own}_words").withColumnRenamed(f"{own}_nth", f"{own}_row")
+        plan = nth(plan, *keys)
+    on = left["doc_id"].eqNullSafe(plan[keys[0]]) & left["source"].eqNullSafe(plan[keys[1]]) & (left[f"{own}_words"] == plan[keys[2]])
+    both = left.join(plan, on & (left[f"{own}_row"] == plan[f"{own}_nth"]) if repeated else on)
+    tokens, spans, passes = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1), F.col(f"{own}_spans"), F.col(f"{own}_passes")
+    cut = F.transform(spans, lambda s: F.slice(F.col(f"{own}_tokens"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    both = both.withColumn(f"{own}_tokens", F.when(F.size(spans) > 0, tokens))
+    part = F.when(F.size(spans) > 0, F.array(F.array_join(F.flatten(cut), "")))
+    copies = F.concat(F.array_repeat(F.col("text"), passes), F.coalesce(part, F.array().cast("array<string>")))
     rows = both.withColumn("text", F.explode(copies))
     made = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
     return made.select(docs.columns)
