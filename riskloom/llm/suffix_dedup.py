@@ -221,8 +221,9 @@ def spans(texts: DataFrame) -> DataFrame:
     """``texts`` (doc_id, t1, t2, text: binary) to rows (t1, t2, start, end) that cover all repeated windows."""
     long = texts.where(F.length("text") >= SPAN).select("t1", "t2", "text")
     found = stage(long.mapInArrow(_contexts, CONTEXTS_DDL), "repeats-contexts")
-    keys = found.groupBy("key").agg(F.count("*").alias("rows"), (F.min("context") < F.max("context")).alias("mixed")).where("rows > 1")
-    again = stage(found.join(keys.select("key", "mixed"), "key"), "repeats-again")
+    # written first, so that the join reads two plain shuffles and Spark can split a key that very many texts share
+    keys = stage(found.groupBy("key").agg(F.count("*").alias("rows"), (F.min("context") < F.max("context")).alias("mixed")).where("rows > 1").select("key", "mixed"), "repeats-keys")
+    again = stage(found.join(keys, "key"), "repeats-again")
     covered = lambda df: df.select("t1", "t2", F.col("first").alias("start"), (F.col("last") + SPAN).alias("end"))
     mixed = again.where("mixed")
     distinct = stage(mixed.groupBy("key", "context").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")), "repeats-distinct")
@@ -284,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     # copies of a text give the same spans: once each
-    found = spans(texts).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = stage(spans(texts).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
     joined = texts.join(found, ["t1", "t2"], "left").select("doc_id", "text", "spans")
     out = joined.mapInArrow(_removed(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
