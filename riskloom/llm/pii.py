@@ -170,10 +170,10 @@ def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
         one = F.array(F.struct("value", "of", "entity"))
         new = F.element_at(surrogates(one, lambda entity: F.col("attempt"), key), 1)
         made = stage(now.withColumn("made", canonical(new, F.col("of"))), "pii-made")
-        met = made.join(entities.select(F.col("entity").alias("made")), "made", "left_semi").select("entity")
+        met = made.join(entities.select(F.col("entity").alias("made")).hint("merge"), "made", "left_semi").select("entity")
         turn = F.row_number().over(Window.partitionBy("made").orderBy("attempt", "entity"))
         again = made.withColumn("turn", turn).where("turn > 1").select("entity").union(met).distinct().withColumn("again", F.lit(1))
-        now = stage(made.join(again, "entity", "left").select("entity", "value", "of", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempts")
+        now = stage(made.join(again.hint("merge"), "entity", "left").select("entity", "value", "of", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempts")
         tries += 1
         if now.where(F.col("attempt") == tries).isEmpty():
             return now.where("attempt > 0").select("entity", "attempt")
