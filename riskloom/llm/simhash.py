@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from riskloom.llm import similar
 from riskloom.llm.common import arrow_rows, pieces, ship, stage, unused
 from riskloom.llm.graph import components
 
@@ -196,11 +197,9 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("fine < 0").select("a", "b").union(more.select("a", "b"))
 
 
-def _grouped(fps: DataFrame) -> DataFrame:
-    """fp, least (smallest id with it), root of its component, for each distinct fingerprint of (doc_id, fp)."""
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _grouped(distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """fp, least, root of its component under the links (a, b), for each distinct fp."""
+    return distinct.join(components(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     fps = stage(slim.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-fp")
-    grouped = _grouped(fps)
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    grouped = _grouped(distinct, links(distinct.select("fp")))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = grouped.join(smallest, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -220,22 +220,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that come first in their component: by doc_id (null last), then
-    fingerprint. Of rows alike in both one stays."""
+    the hash of their shingles. Of rows alike in both one stays. Linked are texts whose sets of five-word shingles are
+    alike by 0.8 or more, not the fingerprints of ``near_duplicates``."""
     ship(docs.sparkSession)
-    schema, own = pa.schema([("fp", pa.int64())]), unused(docs, "fp")
+    own = unused(docs, "fp")
+    common, rank = similar.common_shingles(docs, docs.count())
+    schema = pa.schema([("fp", pa.int64()), ("n", pa.int32()), ("leading", pa.list_(pa.int64()))])
+    extra = [StructField(own, LongType()), StructField(f"{own}_n", IntegerType()), StructField(f"{own}_leading", ArrayType(LongType()))]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            fps = np.array([fingerprint((t or "").encode()) for t in batch.column("text").to_pylist()], np.uint64)
-            fp = arrow_rows(schema, fp=fps.view(np.int64)).column("fp")
-            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, own])
-
-    rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(own, LongType())]))
-    fps = stage(rows.select("doc_id", F.col(own).alias("fp")), "simhash-keys")
+            found = [similar.shingles((t or "").encode()) for t in batch.column("text").to_pylist()]
+            fps = np.array([similar.identity(x) for x in found], np.uint64)
+            more = arrow_rows(schema, fp=fps.view(np.int64), n=[len(x) for x in found], leading=[similar.leading(x, common, rank).view(np.int64) for x in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.columns], names=[*batch.schema.names, *[f.name for f in extra]])
+
+    rows = stage(docs.mapInArrow(keyed, StructType([*docs.schema.fields, *extra])), "similar-rows")
+    fps = rows.select("doc_id", F.col(own).alias("fp"))
+    sets = rows.groupBy(F.col(own).alias("set")).agg(F.first(f"{own}_n").alias("n"), F.first(f"{own}_leading").alias("leading"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     first = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))).alias("first")
-    winners = stage(_grouped(fps).groupBy("root").agg(first).select(F.col("first.least").alias("w_doc"), F.col("first.fp").alias("w_fp")), "simhash-winners")
+    grouped = _grouped(distinct, similar.links(rows, sets, own))
+    winners = stage(grouped.groupBy("root").agg(first).select(F.col("first.least").alias("w_doc"), F.col("first.fp").alias("w_fp")), "simhash-winners")
     win = rows["doc_id"].eqNullSafe(winners["w_doc"]) & (rows[own] == winners["w_fp"])
-    kept = rows.join(winners, win, "left_semi")
+    kept = rows.select(*docs.columns, own).join(winners, win, "left_semi")
     twice = fps.join(winners, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("fp") == F.col("w_fp")), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id", own])
