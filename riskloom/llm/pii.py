@@ -16,6 +16,19 @@ from riskloom.llm.common import stage, unused
 
 KEY, LITERALS = "riskloom-surrogates", 500
 
+# US grouping; after +, a country code and up to 15 digits; with a leading 0, or 8 as in Russia; ten bare US digits.
+_BREAK = r"(?:[ .-]?\(|\)[ .-]?|[ ./-])?"
+PHONES = [
+    r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    rf"\+[1-9](?:{_BREAK}[0-9]){{6,14}}(?![0-9])",
+    r"(?<![0-9])(?<![0-9][.,:/-])8[ -]?(?=(?:[ ()-]{0,2}[0-9]){10}(?![0-9]))(?:\([0-9]{3,5}\)|[0-9]{3,5})[ -]?[0-9]{1,3}[ -]?[0-9]{2}[ -]?[0-9]{2}(?![0-9])",
+    r"(?<![0-9])(?<![0-9][.,:/-])8[ -]?\([0-9]{1,5}\)(?:[ -]?[0-9]){5,9}(?![0-9])",
+    # not a date, a thousand's zeros or a decimal
+    rf"(?<![0-9])(?<![0-9][.,:/-])(?!0?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{{2}}(?![0-9]))(?!000)(?:\(0|0(?=[0-9]))(?:{_BREAK}[0-9]){{6,14}}(?![0-9])",
+    r"(?<![0-9])(?<![0-9][.,:/-])[2-9][0-9]{9}(?![0-9])",
+]
+# What stays of a phone number: country code, trunk digit.
+PREFIX = r"^(?:\+[0-9]{1,3}(?=[ .(-])(?:[ .-]?\(0\))?|\(?0|8(?=[ (-]|[0-9]{10}$))"
 # What the entities look like, by type, in order of precedence, and the names given in their place.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -25,7 +38,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
+    "phone": "|".join(PHONES),
     "man": r"\b(?:Mr|Herr|Monsieur|Señor|Sr)\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?|(?:Господин) \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
     "woman": r"\b(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra)\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?|(?:Госпожа) \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
@@ -63,7 +76,7 @@ def kind(value: Column) -> Column:
 def canonical(value: Column, of: Column) -> Column:
     """What all mentions of an entity share."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    plain = F.when(of.isin("card", "ssn"), digits).when(of == "phone", F.substring(digits, -10, 10))
+    plain = F.when(of.isin("card", "ssn"), digits).when(of == "phone", F.substring(F.regexp_replace(F.regexp_replace(value, PREFIX, ""), "[^0-9]", ""), -10, 10))
     name = F.lower(F.regexp_replace(value, r"^\p{L}+\.? ", ""))
     return F.concat_ws(":", of, plain.when(of.isin("man", "woman"), name).when(of == "iban", F.regexp_replace(value, " ", "")).when(of == "key", value).otherwise(F.lower(value)))
 
@@ -90,8 +103,8 @@ def _characters(value: Column, stream: Column, letters: int = 26, keep: int = 0,
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
 
 
-def _digits(value: Column, stream: Column, most: int, keep: int = 0) -> Column:
-    """The last ``most`` digits replaced by their place from the right, so separators and country codes stay."""
+def _digits(value: Column, stream: Column, most: int, keep: int | Column = 0) -> Column:
+    """The last ``most`` digits after the first ``keep`` characters replaced by their place from the right."""
 
     def one(i: Column) -> Column:
         place = F.length(F.regexp_replace(F.substr(value, i), "[^0-9]", ""))
@@ -119,6 +132,14 @@ def _card(value: Column, stream: Column) -> Column:
     return let(_digits(value, stream, 99, keep=1), checked)
 
 
+def _phone(value: Column, stream: Column) -> Column:
+    """Country code or trunk digit stay; of a code that nothing sets off, what stands before the last ten digits."""
+    over = F.length(F.regexp_replace(value, "[^0-9]", "")) - 10
+    code = F.length(F.regexp_extract(value, PREFIX, 0))
+    keep = F.when(code > 0, code).when(value.startswith("+"), 1 + F.greatest(F.lit(0), F.least(F.lit(3), over))).otherwise(0)
+    return let(keep, lambda k: _digits(value, stream, 15, k))
+
+
 def _email(value: Column, stream: Column) -> Column:
     """The top-level domain stays."""
     domain = F.substring_index(value, "@", -1)
@@ -144,7 +165,7 @@ def _surrogate(m: Column) -> Column:
     for gender, letters in NAMES:
         script = value.rlike(r"\p{IsCyrillic}") == (letters == "cyrillic")
         out = out.when((of == gender) & script, _name(value, stream, gender, letters, m["attempt"]))
-    return out.when(of == "ssn", _digits(value, stream, 99)).otherwise(_digits(value, stream, 10))
+    return out.when(of == "ssn", _digits(value, stream, 99)).otherwise(_phone(value, stream))
 
 
 def mentions(text: Column) -> Column:

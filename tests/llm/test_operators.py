@@ -303,6 +303,28 @@ def test_collisions_get_new_surrogates(spark, monkeypatch, few):
     assert len({a for a, _ in made}) == len(names) and not {a for a, _ in made} & set(names)
 
 
+PHONES = [
+    *("+7 (495) 123-45-67", "8 (495) 123-45-67", "+49 (30) 1234567", "+49 (0)30 123456", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "01 23 45 67 89"),
+    *("030 12345678", "5551234567", "(030) 12345678", "030/1234567", "+74951234567", "84951234567", "8 (5) 234 5678", "+1 (743) 555-3824", "743-555-3824"),
+]
+NO_PHONES = ["01.02.2024", "05/06/2023 at 10", "0.1234567", "10 000 000 000", "2024-01-02 03:04:05", "8 16 32 64 128", "1700000000", "3.14159265358", "8 123 456"]
+
+
+def test_phone_formats(spark):
+    rows = [(k, f"call {p}, then wait", "a") for k, p in enumerate(PHONES)] + [(100 + k, f"on {x} it was", "a") for k, x in enumerate(NO_PHONES)]
+    got = {r.doc_id: r for r in pii.replace(frame(spark, rows)).collect()}
+    shape = lambda t: "".join("9" if c.isdigit() else c for c in t)
+    for k, text, _ in rows:
+        assert got[k].entity_types == (["phone"] if k < 100 else []), text
+        assert (got[k].text != text) == (k < 100) and shape(got[k].text) == shape(text), text
+    kept = {"+7 (495) 123-45-67": "+7 (", "8 (495) 123-45-67": "8 (", "+49 (0)30 123456": "+49 (0)", "+33 1 23 45 67 89": "+33 ", "01 23 45 67 89": "0", "+74951234567": "+7"}
+    made = {p: got[k].text[5:-11] for k, p in enumerate(PHONES)}
+    assert all(made[p].startswith(x) for p, x in kept.items())
+    last = lambda p, n: "".join(c for c in made[p] if c.isdigit())[-n:]
+    assert last("+7 (495) 123-45-67", 10) == last("8 (495) 123-45-67", 10) == last("+74951234567", 10) == last("84951234567", 10)
+    assert last("+33 1 23 45 67 89", 9) == last("01 23 45 67 89", 9) and last("+1 (743) 555-3824", 10) == last("743-555-3824", 10)
+
+
 # -- 5: quality
 
 
