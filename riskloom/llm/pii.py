@@ -52,6 +52,7 @@ SURNAMES = {
     "latin": ["Alder", "Berg", "Conti", "Durand", "Ekman", "Fuchs", "Garcia", "Holm", "Ibsen", "Jansen", "Keller", "Lopez", "Meyer", "Novak", "Olsen", "Petit", "Quint", "Rossi", "Silva", "Turner", "Ulrich", "Vidal", "Weber", "Young"],
     "cyrillic": ["Громов", "Зимин", "Карпов", "Лосев", "Мороз", "Носов", "Орлов", "Попов"],
 }
+LATER = {"latin": "ghklmnoprsabcdef", "cyrillic": "абвгдезиклмнопрс"}
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Without a digit or @, only these begin an entity; looking for them is far cheaper than the patterns.
@@ -151,7 +152,9 @@ def _email(value: Column, stream: Column) -> Column:
 def _name(value: Column, stream: Column, gender: str, letters: str, attempt: Column) -> Column:
     """Title and number of names stay."""
     pick = lambda of, k: F.element_at(F.array(*map(F.lit, of)), F.pmod(_number(stream, F.lit(k)), F.lit(len(of))) + 1)
-    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.translate(F.substr(stream, F.lit(9), F.lit(3)), "0123456789", "ghklmnoprs")))).otherwise("")
+    # a character more with each attempt, so that the names never run out
+    suffix = F.translate(F.substr(stream, F.lit(9), F.least(3 + attempt, F.lit(120))), "0123456789abcdef", LATER[letters])
+    more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(suffix))).otherwise("")
     title, family = F.regexp_extract(value, r"^(\p{L}+\.? )", 1), F.concat(pick(SURNAMES[letters], 2), more)
     return F.when(value.rlike(r"^\p{L}+\.? \S+ \S"), F.concat(title, pick(NAMES[gender, letters], 1), F.lit(" "), family)).otherwise(F.concat(title, family))
 

@@ -303,6 +303,19 @@ def test_collisions_get_new_surrogates(spark, monkeypatch, few):
     assert len({a for a, _ in made}) == len(names) and not {a for a, _ in made} & set(names)
 
 
+def test_names_never_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "NAMES", {k: v[:1] for k, v in pii.NAMES.items()})
+    monkeypatch.setattr(pii, "SURNAMES", {k: v[:1] for k, v in pii.SURNAMES.items()})
+    # one surname and three hex characters make 4097 names
+    syllables = ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "xu", "za", "bo"]
+    names = [f"Mr {a.title()}{b}{c}" for a, b, c in itertools.product(syllables, repeat=3)]
+    names += [f"Господин {a.title()}{b}" for a, b in itertools.product(["ба", "де", "фи", "го", "ку", "ла"], repeat=2)]
+    out = [r.text for r in pii.replace(frame(spark, [(k, n, "a") for k, n in enumerate(names)])).collect()]
+    assert len(names) > 4097 and len(set(out)) == len(names) and not set(out) & set(names)
+    russian = [t.removeprefix("Господин ") for t in out if t.startswith("Господин")]
+    assert len(russian) == 36 and not any(c.isascii() and c.isalpha() for t in russian for c in t)
+
+
 PHONES = [
     *("+7 (495) 123-45-67", "8 (495) 123-45-67", "+49 (30) 1234567", "+49 (0)30 123456", "+44 (0)20 7946 0958", "+33 1 23 45 67 89", "01 23 45 67 89"),
     *("030 12345678", "5551234567", "(030) 12345678", "030/1234567", "+74951234567", "84951234567", "8 (5) 234 5678", "+1 (743) 555-3824", "743-555-3824"),
