@@ -43,12 +43,99 @@ IMPLIED = {
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"[.#]?[\w-]+")
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{};]|[^{};\"'/]+|.", re.S)
+_FEATURE = re.compile(r"\(\s*(?:(min-|max-)?([a-z-]+)\s*(?:(:|[<>]=?|=)\s*([^()<>=]+?)\s*)?|([0-9.]+[a-z]*)\s*([<>]=?)\s*(width|height)\s*(?:([<>]=?)\s*([0-9.]+[a-z]*)\s*)?)\)")
+# The screen that @media rules are read for, and what else they may ask of it.
+SCREEN = {"width": 1280.0, "height": 800.0}
+TRAITS = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "scripting": "enabled", "update": "fast"}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 256
 
 
+def _pixels(value: str) -> float | None:
+    m = re.fullmatch(r"([0-9.]+)(px|em|rem|)", value.strip())
+    try:
+        return float(m[1]) * (16 if m[2] in ("em", "rem") else 1) if m else None
+    except ValueError:
+        return None
+
+
+def _compare(a: float | None, sign: str, b: float | None) -> bool:
+    if a is None or b is None:
+        return False
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}.get(sign, a == b)
+
+
+def _feature(m: re.Match) -> bool:
+    if m[7]:
+        own = SCREEN[m[7]]
+        return _compare(_pixels(m[5]), m[6], own) and (not m[8] or _compare(own, m[8], _pixels(m[9])))
+    name, value = m[2], m[4]
+    if name.removeprefix("device-") in SCREEN:
+        sign = {"min-": ">=", "max-": "<="}.get(m[1], m[3] if m[3] != ":" else "=")
+        return value is None or _compare(SCREEN[name.removeprefix("device-")], sign, _pixels(value))
+    return name == "color" or (name in TRAITS and (value is None and TRAITS[name] != "no-preference" or value == TRAITS[name]))
+
+
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds for ``SCREEN``; what isn't understood doesn't."""
+    for query in re.sub(r"/\*.*?\*/", " ", media.lower(), flags=re.S).split(","):
+        query = query.strip()
+        turned = re.match(r"not\b", query)
+        body = re.sub(r"^(?:not|only)\b", "", query).strip()
+        parts = re.split(r"\s+or\s+", body)
+        holds = []
+        for part in parts:
+            rest, ok = part, True
+            for m in _FEATURE.finditer(part):
+                ok = ok and _feature(m)
+            rest = re.sub(r"\band\b", " ", _FEATURE.sub(" ", rest)).split()
+            holds.append((ok and all(t in ("screen", "all") for t in rest), all(re.fullmatch(r"[a-z-]+", t) for t in rest)))
+        out = any(ok for ok, _ in holds)
+        known = all(k for _, k in holds)
+        if known and out != bool(turned):
+            return True
+    return False
+
+
+def style_rules(sheet: str, order: int) -> Iterator[tuple[str, str, tuple, bool]]:
+    """selector, property, weight (important, specificity, order) and whether it hides, of the rules for a screen."""
+    stack, text = [True], ""
+    opened: list[str] = []
+    for m in _CSS.finditer(sheet):
+        part = m[0]
+        if part.startswith("/*"):
+            continue
+        if part == "{":
+            head, text = text.strip(), ""
+            name = re.match(r"@([\w-]*)", head)
+            if name is None:
+                inner = stack[-1]
+            elif name[1].lower() == "media":
+                inner = stack[-1] and on_screen(head[6:])
+            else:
+                inner = stack[-1] and (name[1].lower() in ("layer", "scope") or (name[1].lower() == "supports" and not re.match(r"@supports\s+not\b", head, re.I)))
+            stack.append(inner)
+            opened.append(head)
+        elif part == "}":
+            if opened:
+                head, on = opened.pop(), stack.pop()
+                if on and not head.startswith("@"):
+                    order += 1
+                    for d in _DECLARATION.finditer(text):
+                        for selector in map(str.strip, head.split(",")):
+                            if _SELECTOR.fullmatch(selector):
+                                special = 2 if selector[0] == "#" else 1 if selector[0] == "." else 0
+                                yield selector, d[1].lower(), (bool(d[3]), special, order), d[2].lower() in ("none", "hidden", "collapse")
+            text = ""
+        elif part == ";" and (not opened or opened[-1].startswith("@")):
+            text = ""
+        else:
+            text += part
+
+
 class Block:
     """An open element: finished lines, the line in the making, and what its place asks for."""
 
@@ -105,7 +192,27 @@ class Page:
 
     def __init__(self) -> None:
         self.open = [Block("#root", False, False, False)]
-        self.rules: set[str] = set()
+        self.rules: dict[str, dict[str, tuple[tuple, bool]]] = {}
+        self.order = 0
+
+    def style(self, sheet: str) -> None:
+        """Of the rules for a selector and property the weightiest holds, of equal ones the last."""
+        for selector, name, weight, hides in style_rules(sheet, self.order):
+            self.order = weight[2]
+            known = self.rules.setdefault(selector if selector[0] in ".#" else selector.lower(), {})
+            if name not in known or known[name][0] <= weight:
+                known[name] = weight, hides
+
+    def gone(self, tag: str, attrs: dict[str, str]) -> bool:
+        """Whether the hidden attribute, the rules for a tag, its classes and id, and its own style hide an element."""
+        now = {"display": ((False, -1, 0), "hidden" in attrs)}
+        for name in {tag, *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")} if self.rules else ():
+            for of, rule in self.rules.get(name, {}).items():
+                now[of] = max(now.get(of, rule), rule)
+        for d in _DECLARATION.finditer(attrs.get("style", "")):
+            of, rule = d[1].lower(), ((bool(d[3]), 3, 0), d[2].lower() in ("none", "hidden", "collapse"))
+            now[of] = rule if of not in now or now[of][0] <= rule[0] else now[of]
+        return any(hides for _, hides in now.values())
 
     def block(self) -> Block:
         """The nearest open element that holds lines."""
@@ -207,8 +314,7 @@ class Page:
             return
         if len(self.open) >= DEEPEST:
             return
-        names = {tag, *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")}
-        unseen = tag in UNSEEN or "hidden" in attrs or bool(_GONE.search(attrs.get("style", ""))) or bool(names & self.rules)
+        unseen = tag in UNSEEN or self.gone(tag, attrs)
         new = Block(tag, self.hidden() or unseen, self.open[-1].pre or tag in ("pre", "listing", "xmp"), tag not in LINE)
         if tag == "table":
             new.rows = []
@@ -243,15 +349,32 @@ class Page:
         return None
 
 
+def tokens(source: str) -> Iterator[tuple[re.Match, str | None]]:
+    """Tokens, start tags of raw elements with the text up to their end."""
+    at, size, lowered = 0, len(source), None
+    while at < size:
+        m = _TOKEN.match(source, at)
+        at, body = m.end(), None
+        if m[2] is not None and not m[1] and (tag := m[2].lower()) in RAW:
+            lowered = lowered if lowered is not None else source.lower()
+            # lower-casing may change lengths for a few letters; then look in the page itself
+            end = (lowered if len(lowered) == size else source).find(f"</{tag}", at)
+            body, at = source[at : end if end >= 0 else size], end if end >= 0 else size
+        yield m, body
+
+
 def render(source: str | None) -> str:
     """The visible text of a page; empty for null or empty pages."""
     if not source:
         return ""
-    page, at, size = Page(), 0, len(source)
-    lowered = None
-    while at < size:
-        m = _TOKEN.match(source, at)
-        at = m.end()
+    page = Page()
+    if re.search("<style", source, re.I):
+        for m, body in tokens(source):
+            if body is not None and m[2].lower() == "style":
+                media = next((x[2] or "" for x in _ATTR.finditer(m[3]) if x[1].lower() == "media"), "").strip("\"' ")
+                if not media or on_screen(media):
+                    page.style(body)
+    for m, body in tokens(source):
         tag = m[2]
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
@@ -264,17 +387,8 @@ def render(source: str | None) -> str:
             page.end(tag)
             continue
         page.start(tag, m[3])
-        if tag in RAW:
-            lowered = lowered if lowered is not None else source.lower()
-            # lower-casing may change lengths for a few letters; then look in the page itself
-            end = (lowered if len(lowered) == size else source).find(f"</{tag}", at)
-            body, at = source[at : end if end >= 0 else size], end if end >= 0 else size
-            if tag == "style":
-                for rule in _RULE.finditer(body):
-                    if _GONE.search(rule[2]):
-                        page.rules.update(s.strip() for s in rule[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
-            elif tag == "xmp":
-                page.words(body)
+        if tag == "xmp":
+            page.words(body)
     page.close_to(1)
     root = page.open[0]
     if root.text:

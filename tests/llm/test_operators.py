@@ -525,6 +525,30 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+STYLES = [
+    ("@media print{.n{display:none}}", True),
+    ("@media (max-width:600px){.n{display:none}}", True),
+    ("@media screen and (min-width: 40em){.n{display:none}}", False),
+    ("@media not print{.n{display:none}} a{color:red}", False),
+    ("@media print{.x{color:red}} .n{display:none}", False),
+    ("@media print, (width >= 600px){.n{display:none}}", False),
+    ("@keyframes k{p{visibility:hidden}} @supports (display:grid){@media print{.n{display:none}}}", True),
+    (".n{display:none} /* .n{} */ .n{display:block}", True),
+    (".n{display:block} .n{display:none}", False),
+    (".n{display:none !important} .n{display:block}", False),
+    ("#i{display:block} .n{display:none}", True),
+    ("@import url(a.css); .n{display:none}", False),
+]
+
+
+@pytest.mark.parametrize(("sheet", "seen"), STYLES)
+def test_style_sheets(sheet, seen):
+    page = "<p id=i class=n>text</p>"
+    assert html_text.render(f"<style>{sheet}</style>{page}") == ("text" if seen else "")
+    assert html_text.render(f"<style>{sheet}</style>{page}<style>.n{{display:block!important}}</style>") == "text"
+    assert html_text.render(f"<style media=print>.n{{display:none}}</style>{page}") == "text"
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     rows = [(k, p) for k, (p, _) in enumerate(PAGES)] + [(None, "a"), (3, "a"), (99, deep), (98, "</p></table><td>c</td>")]
