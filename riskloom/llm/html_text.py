@@ -318,7 +318,7 @@ class Page:
         new = Block(tag, self.hidden() or unseen, self.open[-1].pre or tag in ("pre", "listing", "xmp"), tag not in LINE)
         if tag == "table":
             new.rows = []
-        elif tag == "tr":
+        elif tag == "tr" and self.table() is not None:
             new.cells = []
         elif tag in _CELLS:
             new.span = min(max(int(attrs.get("colspan") or 1), 1), 100) if (attrs.get("colspan") or "1").isdigit() else 1

@@ -525,6 +525,20 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+STRAY_ROWS = [
+    ("<tr><td>text</td></tr>", "text"),
+    ("<tr><td>a<td>b<tr><th>c</tr>", "a\nb\nc"),
+    ("<table><tr><td>a</table></table><tr><td>lost</td></tr>", "a\n\nlost"),
+    ("<div><tr>bare<td>cell</tr></div>", "bare\ncell"),
+    ("<table><tr>bare<td>cell</table>", "cell  bare"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), STRAY_ROWS)
+def test_rows_outside_tables_keep_their_text(page, text):
+    assert html_text.render(page) == text
+
+
 STYLES = [
     ("@media print{.n{display:none}}", True),
     ("@media (max-width:600px){.n{display:none}}", True),
