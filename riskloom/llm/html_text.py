@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +21,11 @@ from riskloom.llm.common import arrow_rows, pieces, ship
 # Element names of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"head", "script", "style", "title", "template", "noscript", "iframe", "noembed", "noframes", "object", "svg", "canvas", "audio", "video", "datalist", "textarea", "dialog", "math"}
+UNSEEN = {"head", "script", "style", "title", "template", "noscript", "iframe", "noembed", "noframes", "canvas", "audio", "video", "datalist"}
+# In drawings and formulas: what only defines or describes; of a drawing only its texts show.
+DRAWN_UNSEEN = {"defs", "desc", "metadata", "symbol", "clippath", "mask", "marker", "pattern", "annotation", "annotation-xml"}
 APART = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "blockquote", "pre", "figure", "table", "fieldset", "menu", "dir", "listing", "xmp", "hr"}
-LINE = {"html", "body", "div", "section", "article", "aside", "header", "footer", "nav", "main", "address", "center", "details", "summary", "dd", "dt", "figcaption", "form", "hgroup", "legend", "li", "option", "optgroup", "select", "search", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"} | APART
+LINE = {"html", "body", "div", "section", "article", "aside", "header", "footer", "nav", "main", "address", "center", "details", "summary", "dialog", "dd", "dt", "figcaption", "form", "hgroup", "legend", "li", "option", "optgroup", "select", "search", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"} | APART
 CLOSES_P = (LINE - {"html", "body", "li", "dd", "dt", "option", "optgroup", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}) | {"li", "dd", "dt"}
 # An opening tag of the key implies the end of an open element of the first set, up to one of the second.
 _CELLS, _ROWS = {"td", "th"}, {"tbody", "thead", "tfoot"}
@@ -139,13 +142,13 @@ def style_rules(sheet: str, order: int) -> Iterator[tuple[str, str, tuple, bool]
 class Block:
     """An open element: finished lines, the line in the making, and what its place asks for."""
 
-    __slots__ = ("cells", "edge", "hidden", "inline", "lines", "marker", "number", "pre", "rows", "span", "tag", "text")
+    __slots__ = ("cells", "drawn", "edge", "hidden", "inline", "lines", "marker", "mute", "number", "pre", "rows", "span", "tag", "text")
 
     def __init__(self, tag: str, hidden: bool, pre: bool, inline: bool):
         self.tag, self.hidden, self.pre, self.inline = tag, hidden, pre, inline
         self.lines: list[str] = []
         self.text: list[str] = []
-        self.edge = False
+        self.edge = self.drawn = self.mute = False
         self.rows: list | None = None
         self.cells: list | None = None
         self.number, self.marker, self.span = 0, "", 1
@@ -192,6 +195,8 @@ class Page:
 
     def __init__(self) -> None:
         self.open = [Block("#root", False, False, False)]
+        self.deep: list[tuple[str, bool]] = []
+        self.deep_tags: Counter[str] = Counter()
         self.rules: dict[str, dict[str, tuple[tuple, bool]]] = {}
         self.order = 0
 
@@ -219,10 +224,10 @@ class Page:
         return next(b for b in reversed(self.open) if not b.inline)
 
     def hidden(self) -> bool:
-        return self.open[-1].hidden
+        return self.deep[-1][1] if self.deep else self.open[-1].hidden
 
     def words(self, text: str) -> None:
-        if self.hidden():
+        if self.hidden() or self.open[-1].mute:
             return
         block = self.block()
         if block.rows is not None or block.cells is not None:
@@ -237,7 +242,21 @@ class Page:
         else:
             block.text.append(text)
 
+    def break_line(self) -> None:
+        block = self.block()
+        if block.text and block.rows is None:
+            block.end_line()
+
+    def surface(self, depth: int) -> None:
+        """Close elements below the depth cap."""
+        for tag, hidden in reversed(self.deep[depth:]):
+            self.deep_tags[tag] -= 1
+            if tag in LINE and not hidden:
+                self.break_line()
+        del self.deep[depth:]
+
     def close_to(self, depth: int) -> None:
+        self.surface(0)
         while len(self.open) > depth:
             self.close()
 
@@ -281,6 +300,22 @@ class Page:
 
     def imply_end(self, tags: set[str], until: set[str]) -> None:
         """Close the outermost open element of ``tags`` above the nearest of ``until``."""
+        found = None
+        # below the depth cap as far as above it
+        low = max(len(self.deep) - DEEPEST, 0)
+        for depth in range(len(self.deep) - 1, low - 1, -1):
+            if self.deep[depth][0] in until:
+                break
+            if self.deep[depth][0] in tags:
+                found = depth
+        else:
+            if found is None and not low:
+                return self.imply_end_above(tags, until)
+        if found is not None:
+            self.surface(found)
+        return None
+
+    def imply_end_above(self, tags: set[str], until: set[str]) -> None:
         found = None
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag in until:
@@ -292,13 +327,16 @@ class Page:
 
     def start(self, tag: str, raw: str) -> None:
         attrs = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
+        drawn = self.open[-1].drawn
+        if (drawn or tag in ("svg", "math")) and raw.rstrip().endswith("/"):
+            return
         if tag in CLOSES_P:
             self.imply_end({"p"}, {"table", "td", "th", "button", "caption", "object"})
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not self.deep and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.close()
         if tag in IMPLIED:
             self.imply_end(*IMPLIED[tag])
-        if tag in _CELLS and self.table() is not None and self.block().cells is None:
+        if tag in _CELLS and not self.deep and self.table() is not None and self.block().cells is None:
             self.start("tr", "")
         if tag == "br":
             if not self.hidden():
@@ -312,10 +350,17 @@ class Page:
             elif tag == "img" and attrs.get("alt"):
                 self.words(html.unescape(attrs["alt"]))
             return
-        if len(self.open) >= DEEPEST:
+        unseen = tag in UNSEEN or (drawn and tag in DRAWN_UNSEEN) or (tag == "dialog" and "open" not in attrs) or self.gone(tag, attrs)
+        if self.deep or len(self.open) >= DEEPEST:
+            if tag in LINE and not self.hidden():
+                self.break_line()
+            self.deep.append((tag, self.hidden() or unseen))
+            self.deep_tags[tag] += 1
             return
-        unseen = tag in UNSEEN or self.gone(tag, attrs)
-        new = Block(tag, self.hidden() or unseen, self.open[-1].pre or tag in ("pre", "listing", "xmp"), tag not in LINE)
+        label = drawn and tag == "text"
+        new = Block(tag, self.hidden() or unseen, self.open[-1].pre or tag in ("pre", "listing", "xmp", "textarea"), tag not in LINE and tag != "textarea" and not label)
+        new.drawn = tag in ("svg", "math") or (drawn and tag != "foreignobject")
+        new.mute = tag == "svg" or (self.open[-1].mute and not label and tag != "foreignobject")
         if tag == "table":
             new.rows = []
         elif tag == "tr" and self.table() is not None:
@@ -331,15 +376,18 @@ class Page:
                 new.marker = f"{into.number}. "
             else:
                 new.marker = "- "
-        if not new.inline and not new.hidden and tag in LINE:
-            block = self.block()
-            if block.text and block.rows is None:
-                block.end_line()
+        if not new.inline and not new.hidden:
+            self.break_line()
         self.open.append(new)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             return self.start("br", "")
+        if self.deep_tags[tag]:
+            depth = len(self.deep) - 1
+            while self.deep[depth][0] != tag:
+                depth -= 1
+            return self.surface(depth)
         scope = {"table", "td", "th", "caption"} if tag not in _ROWS | _CELLS | {"table", "tr", "caption", "body", "html"} else {"table"} if tag != "table" else set()
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
@@ -351,11 +399,13 @@ class Page:
 
 def tokens(source: str) -> Iterator[tuple[re.Match, str | None]]:
     """Tokens, start tags of raw elements with the text up to their end."""
-    at, size, lowered = 0, len(source), None
+    at, size, lowered, drawn = 0, len(source), None, False
     while at < size:
         m = _TOKEN.match(source, at)
         at, body = m.end(), None
-        if m[2] is not None and not m[1] and (tag := m[2].lower()) in RAW:
+        if m[2] is not None and m[2].lower() in ("svg", "math"):
+            drawn = not m[1] and not m[3].rstrip().endswith("/")
+        if m[2] is not None and not m[1] and (tag := m[2].lower()) in RAW and not (tag in ("title", "style", "script") and m[3].rstrip().endswith("/") and drawn):
             lowered = lowered if lowered is not None else source.lower()
             # lower-casing may change lengths for a few letters; then look in the page itself
             end = (lowered if len(lowered) == size else source).find(f"</{tag}", at)
@@ -389,6 +439,9 @@ def render(source: str | None) -> str:
         page.start(tag, m[3])
         if tag == "xmp":
             page.words(body)
+        elif tag == "textarea":
+            body = body.removeprefix("\r").removeprefix("\n")
+            page.words(html.unescape(body) if "&" in body else body)
     page.close_to(1)
     root = page.open[0]
     if root.text:

@@ -525,6 +525,25 @@ def test_rendering(page, text):
     assert html_text.render(page) == text
 
 
+SHOWN = [
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", "a x=2 b"),
+    ("<svg><title>no</title><defs><text>no</text></defs>no<g><text>one</text><text>two <tspan>more</tspan></text></g></svg>after", "one\ntwo more\nafter"),
+    ("<svg viewBox='0 0 1 1'><defs/><title/><path d='M0'/><text>t</text></svg>after", "t\nafter"),
+    ("<svg><path/></svg>x<svg/>y", "xy"),
+    ("<textarea>\na &lt; <b>\n  c</textarea>d", "a < <b>\n  c\nd"),
+    ("<object data=x.swf><param name=a>fallback</object> e", "fallback e"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>f", "yes\nf"),
+    ("<i>" * 300 + "<b hidden>no</b><u style='display:none'>no<i>no</i></u>yes" + "</i>" * 300 + "<p>z", "yes\n\nz"),
+    ("<div>o<table><tr><td>" + "<b>" * 300 + "<div>k</div>l<p>m<p hidden>no<p>n" + "</b>" * 300 + "<td>q</table></div>", "o\n\nk  q\nl\nm\nn"),
+    ("<div hidden>" * 300 + "no" + "</div>" * 300 + "yes", "yes"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHOWN)
+def test_what_browsers_show_comes_out(page, text):
+    assert html_text.render(page) == text
+
+
 STRAY_ROWS = [
     ("<tr><td>text</td></tr>", "text"),
     ("<tr><td>a<td>b<tr><th>c</tr>", "a\nb\nc"),
