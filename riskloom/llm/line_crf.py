@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_rows, pieces, ship
 
-SAMPLE, SAMPLE_LINES, ROUNDS, ACCEPT = 3000, 400, 120, 0.7
+SAMPLE, SAMPLE_LINES, SAMPLE_CHARS, ROUNDS, ACCEPT = 3000, 400, 200_000, 120, 0.7
 OWN = 11
 
 _KIND = np.zeros(256, np.uint8)
@@ -173,22 +173,24 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES, sample_chars: int = SAMPLE_CHARS) -> dict:
     """A model of at most ``sample`` labelled documents, the first by a hash of their id, none of them held out.
 
-    Documents of over ``sample_lines`` lines are scored like all others but not learnt from. Without labelled
-    documents of both kinds the model gives every document the share of label 1 (0.5 without any).
+    The sample is drawn from texts of at most ``sample_lines`` lines and under ``sample_chars`` characters; others are
+    scored like all but not learnt from. Without such documents of both kinds the model gives every document the share
+    of label 1 (0.5 without any) and isn't ``fitted``.
     """
     known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     lines = F.length("text") - F.length(F.translate("text", "\n", ""))
-    text = text.where((lines < sample_lines) & (F.length("text") < 200_000)).dropDuplicates(["doc_id"])
+    text = text.where((F.length("text") < sample_chars) & (lines < sample_lines))
+    some = known.join(text.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    text = text.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted(text.select("doc_id", "quality", F.col("text").cast("binary").alias("text")).collect())
     y = np.array([r.quality for r in rows])
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return {"weights": np.zeros(3 * OWN + 3), "stay": np.ones(4), "calibration": np.array([math.log(p / (1 - p)), 0.0])}
+        return {"weights": np.zeros(3 * OWN + 3), "stay": np.ones(4), "calibration": np.array([math.log(p / (1 - p)), 0.0]), "fitted": False}
     x, weights, counts = line_features([bytes(r.text) for r in rows])
     return train(x, weights, counts, y)
 
@@ -215,7 +217,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores 0.7 or more."""
+    """The rows of ``docs``, all columns as they are, whose text scores 0.7 or more; all of them under a model that
+    isn't fitted, as it can't tell them apart."""
+    if not model.get("fitted", True):
+        return docs
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -355,6 +355,18 @@ def test_quality_learns_and_keeps_out(spark, tiny):
     assert {r.score for r in line_crf.score(frame(spark, ODD), nothing).collect()} == {0.5}
 
 
+def test_quality_samples_what_it_can_learn_from(spark):
+    # ten long documents come first by the hash of their id
+    ids = [r.id for r in spark.range(400).where(~line_crf.held_out("id")).orderBy(F.xxhash64("id"), "id").limit(40).collect()]
+    rows = [(i, "x\n" * 50 if k < 10 else prose(k, 60) if k % 2 else "$$ || 99 " * 20, "a") for k, i in enumerate(ids)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    model = line_crf.fit(docs, labels, sample=10, sample_lines=20)
+    assert model.get("fitted", True) and len(set(model["weights"].tolist())) > 1
+    assert not line_crf.fit(docs, labels, sample_chars=5).get("fitted", True)
+    for few in (labels.limit(0), labels.where("quality = 0")):
+        assert line_crf.accepted(docs, line_crf.fit(docs, few)).count() == len(rows)
+
+
 def test_marginals_match_enumeration():
     r = np.random.default_rng(0)
     e, stay = r.normal(size=5), np.exp(r.normal(size=4))
