@@ -6,8 +6,9 @@ equals. Equal windows have equal anchors at equal offsets, and the ``KEY`` bytes
 The windows of one anchor are the context around it. Anchors whose KEY bytes occur once end there. Where all contexts
 of a key are the same, all their windows repeat. What is left, distinct contexts of one key, is put in shards by key;
 each shard gets a suffix array by induced sorting and permuted common prefixes, and a window repeats if it shares its
-400 bytes with a neighbour in the array. A key with very many distinct contexts is counted by window instead, on
-Spark: exact as well, at any size.
+400 bytes with a neighbour in the array. The contexts of the most frequent keys never meet in a task: each is cut into
+parts of ``STEP`` windows, which get the 385 bytes that all their windows hold as a second key; parts that share it
+are counted by window. Both ways are exact at any size.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from riskloom.llm.suffix_array import common_prefixes, suffix_array
 SPAN, WINDOW, GRAM = 400, 192, 8
 KEY = SPAN - WINDOW
 SEGMENT, SHARD, GROUP, STEP = 8 << 20, 1 << 20, 8 << 20, 16
+# Keys of over HOT rows, the HEAVY most frequent of them (so many at most are broadcast), get second keys.
+HOT, HEAVY, WINDOWS = 1024, 4096, 1 << 16
 
 
 def anchors(parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,19 +103,37 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 TEXTS = pa.schema([(c, pa.int64()) for c in ("key", "context", "many", "t1", "t2", "first", "last", "anchor")] + [("text", pa.binary())])
 TEXTS_DDL = "key long, context long, many long, t1 long, t2 long, first long, last long, anchor long, text binary"
+CUT = pa.schema([("hot", pa.bool_()), *TEXTS])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted context of a text."""
     for batch in pieces(batches, "text", 2 << 20):
-        rows: dict[str, list] = {c: [] for c in TEXTS.names}
+        rows: dict[str, list] = {c: [] for c in CUT.names}
         for row in batch.to_pylist():
             for w in row["wanted"]:
-                for c in ("key", "context", "many", "first", "last", "anchor"):
+                for c in ("hot", "key", "context", "many", "first", "last", "anchor"):
                     rows[c].append(w[c])
                 rows["t1"].append(row["t1"])
                 rows["t2"].append(row["t2"])
                 rows["text"].append(row["text"][w["first"] : w["last"] + SPAN])
+        yield arrow_rows(CUT, **rows)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in parts of STEP windows; the key is a hash of what all of a part's windows hold."""
+    hashed = xxhash.xxh3_64_intdigest
+    for batch in pieces(batches, "text", 1 << 17):
+        rows: dict[str, list] = {c: [] for c in TEXTS.names}
+        for row in zip(*[batch.column(c).to_pylist() for c in TEXTS.names], strict=True):
+            off, text = row[7] - row[5], row[8]
+            for j, core in cores(row):
+                low, high = max(0, off - (j + 1) * STEP + 1), min(row[6] - row[5], off - j * STEP)
+                part = text[low : high + SPAN]
+                new = (hashed(core, j), hashed(part, off - low), *row[2:5], row[5] + low, row[5] + high, row[7], part)
+                for c, v in zip(TEXTS.names, new, strict=True):
+                    rows[c].append(v)
+        rows |= {c: _signed(rows[c]) for c in ("key", "context")}
         yield arrow_rows(TEXTS, **rows)
 
 
@@ -120,17 +141,20 @@ FOUND = pa.schema([(c, pa.int64()) for c in ("t1", "t2", "start", "end", "many",
 FOUND_DDL = "t1 long, t2 long, start long, end long, many long, h1 long, h2 long"
 
 
-def narrowed(group: list[tuple]) -> list[tuple]:
-    """The parts of a key's contexts whose windows may repeat.
+def cores(row: tuple) -> Iterator[tuple[int, bytes]]:
+    """Of a context (a row of TEXTS): j, and the 385 bytes in all its windows that begin j * STEP to (j + 1) * STEP - 1
+    bytes before the anchor."""
+    off, text, inner = row[7] - row[5], row[8], SPAN - STEP + 1
+    for j in range((row[7] - row[6]) // STEP, off // STEP + 1):
+        yield j, text[max(0, off - j * STEP) : off - j * STEP + inner]
 
-    Windows that begin j * STEP to (j + 1) * STEP - 1 bytes before the anchor all hold the same 385 bytes of their
-    context. Where no other context of the key has those, none of these windows repeats.
-    """
-    inner = SPAN - STEP + 1
+
+def narrowed(group: list[tuple]) -> list[tuple]:
+    """The parts of a key's contexts whose windows may repeat: where no other context of the key has the same core,
+    none of the windows around it repeats."""
     ranges, seen = [], Counter()
     for row in group:
-        off, text = row[7] - row[5], row[8]
-        own = [(j, xxhash.xxh3_64_intdigest(text[off - j * STEP : off - j * STEP + inner])) for j in range((row[7] - row[6]) // STEP, off // STEP + 1)]
+        own = [(j, xxhash.xxh3_64_intdigest(core)) for j, core in cores(row)]
         ranges.append(own)
         seen.update(own)
     out = []
@@ -167,19 +191,41 @@ def repeats(rows: list[tuple]) -> Iterator[tuple]:
                 yield row[3], row[4], row[5] + x, row[5] + y - 1 + SPAN
 
 
+def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts (rows of TEXTS) with 128 bits of its bytes, in batches of about ``WINDOWS``."""
+    hashed = xxhash.xxh3_128_digest
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def batch() -> pa.RecordBatch:
+        h, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+        h = h.reshape(-1, 2)
+        many, t1, t2, start = numbers.reshape(-1, 4).T
+        return arrow_rows(FOUND, t1=t1, t2=t2, start=start, end=start + SPAN, many=many, h1=h[:, 0], h2=h[:, 1])
+
+    size = 0
+    for _, _, many, t1, t2, first, _, _, text in rows:
+        n = len(text) - SPAN + 1
+        numbers = np.empty((n, 4), np.int64)
+        numbers[:, :3] = many, t1, t2
+        numbers[:, 3] = first + np.arange(n)
+        held.append((np.frombuffer(b"".join([hashed(text[p : p + SPAN]) for p in range(n)]), np.int64), numbers.ravel()))
+        size += n
+        if size >= WINDOWS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from windows(zip(*[batch.column(c).to_pylist() for c in TEXTS.names], strict=True))
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (key, context): spans from shards of whole keys, or windows of a key that is too large."""
     shard, shard_size, group, group_size, key, context, spilling = [], 0, [], 0, None, None, False
 
-    def windows() -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in FOUND.names}
-        for _, _, many, t1, t2, first, _, _, text in group:
-            for p in range(len(text) - SPAN + 1):
-                h = xxhash.xxh3_128_digest(text[p : p + SPAN])
-                for c, v in zip(FOUND.names, (t1, t2, first + p, first + p + SPAN, many, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)), strict=True):
-                    out[c].append(v)
-        return arrow_rows(FOUND, **out)
-
     def spans() -> pa.RecordBatch:
         made = [*repeats(shard)] if shard else []
         t1, t2, start, end = zip(*made, strict=True) if made else ((), (), (), ())
@@ -189,7 +235,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close_group() -> Iterator[pa.RecordBatch]:
         nonlocal group, group_size, shard_size, shard, spilling
         if spilling:
-            yield windows()
+            yield from windows(group)
         elif len(group) > 1 and any(r[2] == 1 for r in group):
             parts = narrowed(group)
             shard += parts
@@ -211,36 +257,57 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group_size += len(row[8])
             if group_size > GROUP:
                 spilling = True
-                yield windows()
+                yield from windows(group)
                 group, group_size = [], 0
     yield from close_group()
     yield spans()
 
 
+def _of_hot_keys(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct contexts of hot keys (TEXTS): spans of parts that occur again as they are, and the windows of those
+    that share what all their windows hold with other parts. No step brings a key together in one task."""
+    parts = stage(cut.mapInArrow(_parts, TEXTS_DDL), "repeats-parts")
+    slim = ["many", "t1", "t2", "first", "last", "anchor"]
+    same = stage(parts.groupBy("key", "context").agg(F.sum("many").alias("n")), "repeats-same")
+    twice = same.where("n > 1").select("key", "context")
+    covered = parts.where("many = 1").select("key", "context", "t1", "t2", "first", "last").join(twice, ["key", "context"], "left_semi")
+    shared = same.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    once = same.where("n = 1").select("key").distinct().join(shared, "key", "left_semi")
+    open_parts = parts.join(once, "key", "left_semi").groupBy("key", "context").agg(F.sum("many").alias("n"), F.min(F.struct(*slim[1:])).alias("one"), F.first("text").alias("text"))
+    rows = open_parts.select("key", "context", F.col("n").alias("many"), *[F.col(f"one.{c}").alias(c) for c in slim[1:]], "text")
+    return covered, rows.mapInArrow(_windows, FOUND_DDL)
+
+
 def spans(texts: DataFrame) -> DataFrame:
     """``texts`` (doc_id, t1, t2, text: binary) to rows (t1, t2, start, end) that cover all repeated windows."""
     long = texts.where(F.length("text") >= SPAN).select("t1", "t2", "text")
     found = stage(long.mapInArrow(_contexts, CONTEXTS_DDL), "repeats-contexts")
     # written first, so that the join reads two plain shuffles and Spark can split a key that very many texts share
-    keys = stage(found.groupBy("key").agg(F.count("*").alias("rows"), (F.min("context") < F.max("context")).alias("mixed")).where("rows > 1").select("key", "mixed"), "repeats-keys")
-    again = stage(found.join(keys, "key"), "repeats-again")
+    keys = stage(found.groupBy("key").agg(F.count("*").alias("rows"), (F.min("context") < F.max("context")).alias("mixed")).where("rows > 1"), "repeats-keys")
+    hot = F.broadcast(stage(keys.where(F.col("mixed") & (F.col("rows") > HOT)).orderBy(F.desc("rows"), "key").limit(HEAVY).select("key"), "repeats-hot"))
+    others = keys.join(hot, "key", "left_anti").select("key", "mixed", F.lit(False).alias("hot"))
+    hottest = found.join(hot, "key").select(*found.columns, F.lit(True).alias("mixed"), F.lit(True).alias("hot"))
+    again = stage(found.join(others, "key").select(*found.columns, "mixed", "hot").union(hottest), "repeats-again")
     covered = lambda df: df.select("t1", "t2", F.col("first").alias("start"), (F.col("last") + SPAN).alias("end"))
     mixed = again.where("mixed")
-    distinct = stage(mixed.groupBy("key", "context").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")), "repeats-distinct")
+    distinct = stage(mixed.groupBy("key", "context", "hot").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")), "repeats-distinct")
     often = mixed.join(distinct.where("many > 1").select("key", "context"), ["key", "context"], "left_semi")
     # contexts that occur once, and those they may meet
-    open_keys = distinct.where("many = 1").select("key").distinct()
-    wanted = distinct.join(open_keys, "key", "left_semi").groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("key", "context", "many", "one.first", "one.last", "one.anchor")).alias("wanted"))
+    open_keys = distinct.where("many = 1 AND NOT hot").select("key").distinct()
+    wanted = distinct.where("NOT hot").join(open_keys, "key", "left_semi").union(distinct.where("hot"))
+    wanted = wanted.groupBy("one.t1", "one.t2").agg(F.collect_list(F.struct("hot", "key", "context", "many", "one.first", "one.last", "one.anchor")).alias("wanted"))
     named = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(named, ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2", "doc_id": "w_doc"})
     same = (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_doc"))
-    cut = texts.join(wanted, same).select("t1", "t2", "text", "wanted").mapInArrow(_cut, TEXTS_DDL)
-    searched = stage(cut.repartition("key").sortWithinPartitions("key", "context").mapInArrow(_shards, FOUND_DDL), "repeats-found")
-    counted = searched.where("h1 is not null")
+    cut = texts.join(wanted, same).select("t1", "t2", "text", "wanted").mapInArrow(_cut, f"hot boolean, {TEXTS_DDL}")
+    cut = stage(cut, "repeats-cut")
+    searched = stage(cut.where("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "context").mapInArrow(_shards, FOUND_DDL), "repeats-found")
+    parts_covered, part_windows = _of_hot_keys(cut.where("hot").drop("hot"))
+    counted = searched.where("h1 is not null").union(stage(part_windows, "repeats-windows"))
     twice = counted.groupBy("h1", "h2").agg(F.sum("many").alias("n")).where("n > 1").select("h1", "h2")
-    parts = [covered(again.where("not mixed")), covered(often), searched.where("h1 is null").select("t1", "t2", "start", "end")]
+    parts = [covered(again.where("not mixed")), covered(often), covered(parts_covered), searched.where("h1 is null").select("t1", "t2", "start", "end")]
     parts.append(counted.where("many = 1").join(twice, ["h1", "h2"], "left_semi").select("t1", "t2", "start", "end"))
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
 
 
 def merged(spans_of: list[tuple[int, int]]) -> list[list[int]]:
@@ -253,10 +320,10 @@ def merged(spans_of: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("kept", pa.binary())])
 
 
-def _removed(keep_text: bool):
+def _removed(keep_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             rows: dict[str, list] = {c: [] for c in RESULT.names}
@@ -267,16 +334,18 @@ def _removed(keep_text: bool):
                     kept.append(text[at:start])
                     at = end
                 rest = b"".join([*kept, text[at:]])
-                for c, v in zip(RESULT.names, (row["doc_id"], len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if keep_text else None), strict=True):
+                for c, v in zip(RESULT.names, (row["doc_id"], len(text), len(text) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"), rest if keep_bytes else None), strict=True):
                     rows[c].append(v)
             yield arrow_rows(RESULT, **rows)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (bytes) if asked for.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, and ``kept`` (bytes) if asked for.
 
+    ``text`` is what remains, without the bytes of characters that a removal cut apart; kept_sha256 is of all bytes
+    that remain, which ``kept`` holds.
     Null texts are empty. Copies of a text are places of their own: of 400 bytes or more, all of them goes. Null ids
     and repeated rows each keep their row. Other columns are ignored; an empty table gives no rows. Texts and contexts
     are told apart by 128 bits of hashes; windows by their bytes, in keys of over ``GROUP`` bytes by 128 bits.
@@ -287,5 +356,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # copies of a text give the same spans: once each
     found = stage(spans(texts).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats-spans")
     joined = texts.join(found, ["t1", "t2"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(_removed(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if keep_text else out.drop("kept")
+    out = joined.mapInArrow(_removed(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept binary")
+    return out if keep_bytes else out.drop("kept")
