@@ -46,6 +46,27 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
+#: Bits of the bitmap of ``perhaps_in``: at most BITMAP / 2^15 rows of 4 KB (4 MB) are broadcast, whatever the keys.
+BITMAP = 1 << 25
+
+
+def perhaps_in(df: DataFrame, column: str, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with the boolean ``flag``: false only where ``column`` (a hash) is none of ``keys`` (one hash column).
+
+    The keys are kept as one bitmap of ``BITMAP`` places, so what is broadcast has a bound at any number of keys; a
+    join of the rows flagged makes the answer exact. With very many keys more rows are flagged, none is missed.
+    """
+    bits, bucket = f"{flag}_bits", f"{flag}_bucket"
+    at = lambda c: F.pmod(F.col(c), F.lit(BITMAP))
+    place = lambda c: at(c).bitwiseAND(32767)
+    key = keys.columns[0]
+    table = keys.groupBy(F.shiftright(at(key), 15).alias(bucket)).agg(F.bitmap_construct_agg(place(key)).alias(bits))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(place(column), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = F.coalesce(F.getbit(byte, place(column).bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(stage(table, "bitmap")), F.shiftright(at(column), 15) == F.col(bucket), "left")
+    return joined.select(*[df[c] for c in df.columns], met.alias(flag))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds about ``limit`` bytes of ``column`` (a single longer value stays whole)."""
     for batch in batches:

@@ -18,10 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from riskloom.llm import similar
-from riskloom.llm.common import arrow_rows, pieces, ship, stage, unused
+from riskloom.llm.common import arrow_rows, perhaps_in, pieces, ship, stage, unused
 from riskloom.llm.graph import components
 
 BITS, SHARED, SEED, WORDS = 3, 5, 42, 3
@@ -218,33 +217,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+ROWS = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("leading", pa.list_(pa.int64()))])
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that come first in their component: by doc_id (null last), then
-    the hash of their shingles. Of rows alike in both one stays. Linked are texts whose sets of five-word shingles are
-    alike by 0.8 or more, not the fingerprints of ``near_duplicates``."""
+    the hash of their text. Of rows alike in both one stays. Linked are texts whose sets of five-word shingles are
+    alike by 0.8 or more, not the fingerprints of ``near_duplicates``. Null and empty texts have the empty set and are
+    copies of each other; an empty table gives no rows; other columns, whatever their names, pass unread."""
     ship(docs.sparkSession)
-    own = unused(docs, "fp")
     common, rank = similar.common_shingles(docs, docs.count())
-    schema = pa.schema([("fp", pa.int64()), ("n", pa.int32()), ("leading", pa.list_(pa.int64()))])
-    extra = [StructField(own, LongType()), StructField(f"{own}_n", IntegerType()), StructField(f"{own}_leading", ArrayType(LongType()))]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), "text")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = [similar.shingles((t or "").encode()) for t in batch.column("text").to_pylist()]
-            fps = np.array([similar.identity(x) for x in found], np.uint64)
-            more = arrow_rows(schema, fp=fps.view(np.int64), n=[len(x) for x in found], leading=[similar.leading(x, common, rank).view(np.int64) for x in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more.columns], names=[*batch.schema.names, *[f.name for f in extra]])
-
-    rows = stage(docs.mapInArrow(keyed, StructType([*docs.schema.fields, *extra])), "similar-rows")
-    fps = rows.select("doc_id", F.col(own).alias("fp"))
-    sets = rows.groupBy(F.col(own).alias("set")).agg(F.first(f"{own}_n").alias("n"), F.first(f"{own}_leading").alias("leading"))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    first = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))).alias("first")
-    grouped = _grouped(distinct, similar.links(rows, sets, own))
-    winners = stage(grouped.groupBy("root").agg(first).select(F.col("first.least").alias("w_doc"), F.col("first.fp").alias("w_fp")), "simhash-winners")
-    win = rows["doc_id"].eqNullSafe(winners["w_doc"]) & (rows[own] == winners["w_fp"])
-    kept = rows.select(*docs.columns, own).join(winners, win, "left_semi")
-    twice = fps.join(winners, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("fp") == F.col("w_fp")), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
-    if not twice.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", own])
-    return kept.drop(own)
+            own = np.array([similar.identity(x) for x in found], np.uint64).view(np.int64)
+            leading = [similar.leading(x, common, rank).view(np.int64) for x in found]
+            yield arrow_rows(ROWS, doc_id=batch.column("doc_id"), t1=batch.column("t1"), set=own, n=[len(x) for x in found], leading=leading)
+
+    rows = stage(texts.mapInArrow(keyed, "doc_id long, t1 long, set long, n long, leading array<long>"), "similar-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1")).alias("first")
+    sets = stage(rows.groupBy("set").agg(F.first("n").alias("n"), F.first("leading").alias("leading"), least), "similar-leading")
+    roots = components(similar.links(texts, sets))
+    grouped = sets.select("set", "first").join(roots, F.col("set") == F.col("node"), "left").select("first", F.coalesce("root", "set").alias("root"))
+    winners = stage(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("w_doc"), F.col("first.t1").alias("w_t1")), "similar-winners")
+    won = lambda df, t1: df["doc_id"].eqNullSafe(winners["w_doc"]) & (df[t1] == winners["w_t1"])
+    counted = rows.groupBy("doc_id", "t1").count()
+    doubtful = counted.where("count = 1").join(winners, won(counted, "t1"), "left_anti").union(counted.where("count > 1"))
+    # rows that surely stay aren't shuffled; the others meet the winners
+    own = unused(docs, "own")
+    key = lambda doc, t1: F.xxhash64(F.col(doc).cast("long"), F.col(t1))
+    marked = docs.withColumn(f"{own}_t1", F.xxhash64("text")).withColumn(f"{own}_key", key("doc_id", f"{own}_t1"))
+    marked = perhaps_in(marked, f"{own}_key", doubtful.select(key("doc_id", "t1").alias("key")), f"{own}_met")
+    met = marked.where(f"`{own}_met`").dropDuplicates(["doc_id", f"{own}_t1"])
+    return marked.where(f"NOT `{own}_met`").union(met.join(winners, won(met, f"{own}_t1"), "left_semi")).select(*docs.columns)
