@@ -61,9 +61,15 @@ def row_count(*columns: Column) -> Column:
     return F.size(observed(*columns))
 
 
+def _count_and_sum(columns: tuple[Column, ...]) -> tuple[Column, Column]:
+    """How many are there, and their sum: plain arithmetic, so no array is built a row."""
+    count = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in columns])
+    return count, reduce(lambda a, b: a + b, [F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns])
+
+
 def row_mean(*columns: Column) -> Column:
-    x = observed(*columns)
-    return F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+    count, total = _count_and_sum(columns)
+    return F.when(count > 0, total / count)
 
 
 def row_median(*columns: Column) -> Column:
@@ -74,18 +80,21 @@ def row_median(*columns: Column) -> Column:
 
 
 def row_min(*columns: Column) -> Column:
-    return F.array_min(observed(*columns))
+    each = [c.cast("double") for c in columns]
+    return F.least(*each) if len(each) > 1 else each[0]
 
 
 def row_max(*columns: Column) -> Column:
-    return F.array_max(observed(*columns))
+    each = [c.cast("double") for c in columns]
+    return F.greatest(*each) if len(each) > 1 else each[0]
 
 
 def row_std(*columns: Column) -> Column:
     """Of a sample; NULL for fewer than two."""
-    x = observed(*columns)
-    mean = row_mean(*columns)
-    return F.when(F.size(x) > 1, F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (F.size(x) - 1)))
+    count, total = _count_and_sum(columns)
+    off = [c.cast("double") - total / F.nullif(count, F.lit(0)) for c in columns]
+    squares = reduce(lambda a, b: a + b, [F.coalesce(x * x, F.lit(0.0)) for x in off])
+    return F.when(count > 1, F.sqrt(squares / (count - 1)))
 
 
 def row_product(*columns: Column, least: int = 2) -> Column:
