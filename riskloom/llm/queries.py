@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import hamming, html_text, line_crf, mixing, packing, pii, simhash, suffix_dedup, token_counts, vptree
+from riskloom.llm import (
+    fill_middle,
+    hamming,
+    html_text,
+    line_crf,
+    mixing,
+    packing,
+    pii,
+    pivots,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vptree,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +81,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of every document."""
+    return fill_middle.digests(fill_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op12_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for each vec_id divisible by 100."""
+    return pivots.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +110,9 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_edit_aware_token_counts,
         op10_html_text,
+        op11_fill_in_middle,
+        op12_lexicon_toxicity,
+        op13_hard_negatives,
     )
 }
 
@@ -98,4 +131,23 @@ ORACLE_SQL: dict[str, str] = {
           FROM c q JOIN c r ON r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
         FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+        t AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS h1, CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) AS h2, CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) AS h3, CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, len(tok) AS n, least(h1 % (len(tok) + 1), h2 % (len(tok) + 1)) AS a, greatest(h1 % (len(tok) + 1), h2 % (len(tok) + 1)) AS b FROM t),
+        f AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+          array_to_string(list_slice(tok, 1, a), '') AS p, array_to_string(list_slice(tok, a + 1, b), '') AS m, array_to_string(list_slice(tok, b + 1, n), '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(text) AS restored_sha256 FROM f""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM v),
+        c AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM u),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS row_id, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM c a JOIN c b ON a.i = b.i WHERE a.vec_id % 100 = 0 GROUP BY 1, 2),
+        l AS (SELECT s.*, p.label = q.label AS same FROM s JOIN v p ON p.vec_id = anchor_id JOIN v q ON q.vec_id = row_id WHERE anchor_id <> row_id),
+        pos AS (SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM l WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5),
+        neg AS (SELECT p.anchor_id, positive_id, positive_score, row_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, row_id) AS rank
+          FROM pos p JOIN l ON l.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5""",
 }
