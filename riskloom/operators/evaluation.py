@@ -7,12 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.ranking import cumulated, places_by_hash
+
 
 def stratified_folds(df: DataFrame, key: str, target: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """key, target, fold from 1: within a class rows are dealt in turn, in the order of a seeded hash of the key."""
-    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
-    turn = F.row_number().over(Window.partitionBy(target).orderBy(*order)) - 1
-    return df.select(key, target, (turn % folds + 1).cast("int").alias("fold"))
+    placed = places_by_hash(df.select(key, target), key, target, seed, "_place")
+    return placed.select(key, target, (F.col("_place") % folds + 1).cast("int").alias("fold"))
 
 
 def fold_fingerprint(folds: DataFrame, key: str = "key") -> str:
@@ -47,20 +48,10 @@ def check_coverage(predictions: DataFrame, expected: DataFrame, key: str, score:
 
 
 def _by_score(df: DataFrame, target: str, score: str) -> DataFrame:
-    """pos, neg and their running sums up to and with each distinct score.
-
-    Scores are put in ranges first and ranges summed, so that no task sees all scores.
-    """
+    """pos, neg, their running sums up to and with each distinct score, and their totals P and N."""
     g = df.where(F.col(score).isNotNull() & F.col(target).isin(0, 1)).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(target).cast("long")).alias("pos"), F.sum(1 - F.col(target).cast("long")).alias("neg"))
-    g = g.withColumn("_range", F.floor(F.col("score") * 4096))
-    ranges = g.groupBy("_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # a row per range, 4096 per unit of the score
-    ranges = ranges.select("_range", *[F.coalesce(F.sum(a).over(before), F.lit(0)).alias(b) for a, b in (("p", "_p0"), ("n", "_n0"))], F.sum("p").over(every).alias("P"), F.sum("n").over(every).alias("N"))
-    inside = Window.partitionBy("_range").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.join(ranges, "_range")
-    return g.withColumn("pos_upto", F.col("_p0") + F.sum("pos").over(inside)).withColumn("neg_upto", F.col("_n0") + F.sum("neg").over(inside))
+    c = cumulated(g, "score", ["pos", "neg"])
+    return c.select("score", "pos", "neg", (F.col("pos_before") + F.col("pos")).alias("pos_upto"), (F.col("neg_before") + F.col("neg")).alias("neg_upto"), F.col("pos_all").alias("P"), F.col("neg_all").alias("N"))
 
 
 def discrimination(df: DataFrame, target: str, score: str) -> DataFrame:
@@ -86,6 +77,20 @@ def calibration(df: DataFrame, target: str, score: str) -> DataFrame:
     return df.agg(F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), F.avg(y).alias("bad_rate"))
 
 
+def calibration_bins(df: DataFrame, target: str, score: str, bins: int = 10) -> DataFrame:
+    """Per bin of about equal size: bin from 1, n, mean_score, bad_rate, low, high, and ``gap``, the mean absolute
+    difference of the two over all bins, weighted by n. Equal scores stay together: a score belongs to the bin that the
+    first row of its own falls in, so a bin may be empty and then has no row. Rows without score or class don't count.
+    """
+    fine = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(target).isin(0, 1))
+    g = fine.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("rows"), F.sum(F.col(target).cast("long")).alias("bads"))
+    placed = cumulated(g, "score", ["rows"]).withColumn("bin", F.expr(f"cast(rows_before * {bins} div rows_all + 1 as int)"))
+    x = placed.groupBy("bin").agg(F.sum("rows").alias("n"), (F.sum(F.col("score") * F.col("rows")) / F.sum("rows")).alias("mean_score"), (F.sum("bads") / F.sum("rows")).alias("bad_rate"), F.min("score").alias("low"), F.max("score").alias("high"))
+    every = Window.partitionBy()  # a row per bin
+    gap = F.sum(F.abs(F.col("mean_score") - F.col("bad_rate")) * F.col("n")).over(every) / F.sum("n").over(every)
+    return x.withColumn("gap", gap)
+
+
 def decisions(df: DataFrame, target: str, score: str, cutoff: float) -> DataFrame:
     """One row for a rule that declines from ``cutoff`` on: approval_rate, approved_bad_rate, capture_rate."""
     y, ok = F.col(target).cast("double"), F.col(score) < cutoff

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.numeric import flag
 from riskloom.operators import aggregation as A
 from riskloom.operators import ordered as O
+from riskloom.operators.ranking import describe
 from riskloom.plans.registry import query, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -78,8 +79,17 @@ def trimmed_mean(spark, d):
 
 @query("describe_values", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, round(min(value), 6) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS high FROM events")
 def describe_values(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").agg(F.count(v).alias("n"), R(F.avg(v)).alias("mean"), R(F.stddev_samp(v)).alias("deviation"), R(F.min(v)).alias("low"), *[R(F.percentile(v, q)).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75), 1)], R(F.max(v)).alias("high"))
+    x = describe(table(spark, d, "events"), ["value"])
+    return x.select("n", *[R(F.col(c)).alias(c) for c in ("mean", "deviation", "low", "q1", "q2", "q3", "high")])
+
+
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("describe_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS deviation, round(min({c}), 4) AS low, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS q2, round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}), 4) AS high FROM lineitem" for c in _MEASURES))
+def describe_columns(spark, d):
+    x = describe(table(spark, d, "lineitem"), list(_MEASURES))
+    return x.select("column", "n", *[R(F.col(c), 4).alias(c) for c in ("mean", "deviation", "low", "q1", "q2", "q3", "high")])
 
 
 @query("streak_episodes", """

@@ -67,6 +67,15 @@ def log_loss(spark, d):
     return E.calibration(scored(spark, d), "y", "p").select(R(F.col("log_loss")).alias("log_loss"))
 
 
+@query("calibration_bins", f"""
+    WITH s AS ({_SCORED}), g AS (SELECT p, count(*) AS n, sum(y) AS bads FROM s GROUP BY p), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM g),
+    b AS (SELECT CAST(before * 10 // total + 1 AS INTEGER) AS bin, CAST(sum(n) AS BIGINT) AS n, sum(p * n) / sum(n) AS m, sum(bads) / sum(n) AS r, min(p) AS low, max(p) AS high FROM c GROUP BY 1)
+    SELECT bin, n, round(m, 6) AS mean_score, round(r, 6) AS bad_rate, round(low, 6) AS low, round(high, 6) AS high, round(sum(abs(m - r) * n) OVER () / sum(n) OVER (), 6) AS gap FROM b""")
+def calibration_bins(spark, d):
+    x = E.calibration_bins(scored(spark, d), "y", "p", 10)
+    return x.select("bin", "n", *[R(F.col(c)).alias(c) for c in ("mean_score", "bad_rate", "low", "high", "gap")])
+
+
 @query("approval_bad_capture", f"SELECT round(avg(CASE WHEN p < 0.2 THEN 1.0 ELSE 0.0 END), 6) AS approval_rate, round(avg(CASE WHEN p < 0.2 THEN y END), 6) AS approved_bad_rate, round(sum(CASE WHEN p < 0.2 THEN 0 ELSE y END) / sum(y), 6) AS capture_rate FROM ({_SCORED})")
 def approval_bad_capture(spark, d):
     x = E.decisions(scored(spark, d), "y", "p", 0.2)
