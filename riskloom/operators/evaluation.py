@@ -138,6 +138,12 @@ def ablation_summary(folds: DataFrame, baseline: str) -> DataFrame:
     return d.groupBy("experiment").agg(F.avg("score").alias("mean_score"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std_score"), F.avg("delta").alias("mean_delta"), F.sum((F.col("delta") > 0).cast("long")).alias("positive_folds"))
 
 
+def importance_summary(importances: DataFrame) -> DataFrame:
+    """feature, mean, deviation (0 for one fold) of a feature's importance over the folds, the most important first."""
+    x = F.col("importance")
+    return importances.groupBy("feature").agg(F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("deviation")).orderBy(F.desc("mean"), "feature")
+
+
 def select_final(summary: DataFrame, baseline: str, folds: int, tie: float = 1e-5, more_std: float = 5e-4) -> DataFrame:
     """The winner: better than the baseline, positive in at least 80 % of the folds, hardly less even; among those
     within ``tie`` of the best the smallest. No row if none passes."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import flag
 from riskloom.operators import aggregation as A
+from riskloom.operators import evaluation as E
 from riskloom.operators import ordered as O
 from riskloom.operators.ranking import describe
 from riskloom.plans.registry import query, table
@@ -154,5 +155,5 @@ def days_since_last(spark, d):
 
 @query("importance_summary", "SELECT l_returnflag AS feature, round(avg(l_quantity), 6) AS mean, round(coalesce(stddev_samp(l_quantity), 0), 6) AS deviation FROM lineitem GROUP BY 1")
 def importance_summary(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("feature")).agg(R(F.avg("l_quantity")).alias("mean"), R(F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0))).alias("deviation"))
-    return g.orderBy(F.desc("mean"))
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("feature"), F.col("l_quantity").alias("importance"))
+    return E.importance_summary(rows).select("feature", R(F.col("mean")).alias("mean"), R(F.col("deviation")).alias("deviation"))

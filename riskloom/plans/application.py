@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import clean, flag, float32, float_difference, pair_features, plain_divide, require, row_count, row_max, row_mean, row_median, row_min, row_product, row_std, row_sum, safe_divide, starting_with, without_sentinel
+from riskloom.operators.prepared import aligned  # noqa: F401
 
 # Source columns.
 EXTERNAL = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
@@ -109,14 +110,3 @@ def factorial(df: DataFrame, factors: str) -> DataFrame:
     if clash:
         raise ValueError(f"would overwrite {sorted(clash)}")
     return out.withColumns(added | new) if added | new else out
-
-
-def aligned(train: DataFrame, test: DataFrame, build, target: str = "TARGET") -> tuple[DataFrame, DataFrame]:
-    """Both tables built, with the same predictors in the same order; different predictors raise."""
-    predictors = [c for c in train.columns if c != target]
-    if set(predictors) != set(test.columns) - {target}:
-        raise ValueError(f"predictors differ: {sorted(set(predictors) ^ (set(test.columns) - {target}))}")
-    a, b = build(train), build(test.select(*predictors))
-    if [c for c in a.columns if c != target] != b.columns:
-        raise ValueError("outputs differ in order")
-    return a, b

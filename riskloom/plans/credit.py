@@ -208,14 +208,13 @@ def factorial_nrd(spark, d):
 @query("block_roundtrip")
 def block_roundtrip(spark, d):
     """A mart saved as a block, loaded again and merged onto the applicants; rows only."""
-    import tempfile
     import uuid
 
     from riskloom.operators.aggregation import merge_blocks
+    from riskloom.sources.staging import shared_folder
     from riskloom.sources.store import load_block, save_block
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared}/blocks-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    root = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
     mart = M.previous_application(dressed(spark, d, EARLIER.replace("{days}", SPARK_DAYS), "orders"))
     mart = mart.toDF(*[c.replace(" ", "_") for c in mart.columns])
     save_block(mart, "previous_application", root, M.VERSIONS["previous_application"], {c: "all" for c in mart.columns if c != M.CLIENT})
@@ -224,15 +223,79 @@ def block_roundtrip(spark, d):
     return merge_blocks(clients, {"previous_application": block}, M.CLIENT, {"previous_application": ["PREV_APPLICATION_COUNT", "PREV_AMT_CREDIT_MAX"]})
 
 
+def _labelled(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+
+
 @query("cv_gbt_oof")
 def cv_gbt_oof(spark, d):
-    """Out-of-fold scores of a logistic model on labelled documents' lengths and languages; rows only."""
+    """Out-of-fold scores of boosted trees on labelled documents' lengths and languages; rows only."""
     from riskloom.operators.evaluation import stratified_folds
     from riskloom.operators.modeling import cross_validate
 
-    t = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    t = _labelled(spark, d)
     folds = stratified_folds(t, "doc_id", "quality", 3)
-    return cross_validate(t, folds.drop("quality"), "doc_id", "quality", ["n_chars", "lang"], "logistic").oof
+    return cross_validate(t, folds.drop("quality"), "doc_id", "quality", ["n_chars", "lang"], "gbt", {"maxIter": 8, "maxDepth": 3}).oof
+
+
+_CV_FOLDS = "f AS (SELECT l.doc_id, l.quality, CAST((row_number() OVER (PARTITION BY l.quality ORDER BY md5(concat('42:', l.doc_id)), l.doc_id) - 1) % 3 + 1 AS INTEGER) AS fold FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+
+
+@query("cv_contract", f"""
+    WITH {_CV_FOLDS} SELECT fold, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positives, count(*) AS covered_once, CAST(0 AS BIGINT) AS invalid, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS test_rows, 0.0::DOUBLE AS test_gap, 1.0::DOUBLE AS importance, true AS stopped FROM f GROUP BY fold""")
+def cv_contract(spark, d):
+    """Per fold of boosted trees: its rows, how often they are scored, how far the test scores are from the mean of the
+    models' scores, the sum of the importances, and whether the trees kept to the most allowed."""
+    from riskloom.operators.evaluation import stratified_folds
+    from riskloom.operators.modeling import cross_validate
+
+    t, most = _labelled(spark, d), 6
+    unknown = table(spark, d, "documents").select("doc_id", "n_chars", "lang").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    v = cross_validate(t, stratified_folds(t, "doc_id", "quality", 3).drop("quality"), "doc_id", "quality", ["n_chars", "lang"], "gbt", {"maxIter": most, "maxDepth": 3}, test=unknown)
+    per_key = v.oof.groupBy("fold", "doc_id", "quality").agg(F.count("*").alias("times"), F.sum(F.when(F.col("score").between(0, 1), 0).otherwise(1)).alias("bad"))
+    rows = per_key.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col("quality").cast("long")).alias("positives"), F.count_if(F.col("times") == 1).alias("covered_once"), F.sum("bad").alias("invalid"))
+    scores = [F.col(c) for c in v.test.columns if c.startswith("score_")]
+    test = v.test.agg(F.count("*").alias("test_rows"), F.round(F.max(F.abs(F.col("score") - sum(scores, F.lit(0.0)) / len(scores))), 9).alias("test_gap"))
+    total = v.importances.groupBy("fold").agg(F.round(F.sum("importance"), 6).alias("importance"))
+    ended = spark.createDataFrame([(k, 1 <= n <= most) for k, n in enumerate(v.best_iterations, 1)], "fold int, stopped boolean")
+    return rows.join(total, "fold").join(ended, "fold").join(F.broadcast(test))  # one row
+
+
+@query("cv_importances", """
+    SELECT * FROM (VALUES ('long_text', 1.0::DOUBLE, 0.0::DOUBLE, 3::BIGINT), ('lang', 0.0, 0.0, 3), ('source', 0.0, 0.0, 3)) v(feature, mean, deviation, folds) WHERE (SELECT count(DISTINCT n_chars >= 1500) FROM labels l JOIN documents d ON l.doc_id = d.doc_id) = 2""")
+def cv_importances(spark, d):
+    """Importances over the folds where one feature tells the classes apart: it has all of it in every fold."""
+    from riskloom.operators.evaluation import importance_summary, stratified_folds
+    from riskloom.operators.modeling import cross_validate
+
+    t = _labelled(spark, d).withColumn("long_text", (F.col("n_chars") >= 1500).cast("int")).withColumn("y", F.col("long_text"))
+    v = cross_validate(t, stratified_folds(t, "doc_id", "y", 3).drop("y"), "doc_id", "y", ["lang", "source", "long_text"], "gbt", {"maxIter": 3, "maxDepth": 2})
+    folds = v.importances.groupBy("feature").agg(F.count("*").alias("folds"))
+    return importance_summary(v.importances).join(folds, "feature").select("feature", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "folds")
+
+
+# Text columns by their names in the application table, here over orders.
+_TEXT = {"NAME_EDUCATION_TYPE": "o_orderpriority", "CODE_GENDER": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END", "ORGANIZATION_TYPE": "CASE WHEN o_orderkey % 4 = 0 THEN concat('only test ', o_orderkey % 3) ELSE concat('Ä ', o_custkey % 50) END"}
+_WITH_TEXT = APPLICATIONS.replace(" FROM orders", "".join(f", {v} AS {k}" for k, v in _TEXT.items()) + " FROM orders")
+
+
+def application_tables(spark, d):
+    """Train rows with their target and test rows without, by the remainder of the id."""
+    t = dressed(spark, d, _WITH_TEXT, "orders")
+    t = t.select(*[F.col(c).cast("double").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in t.dtypes])
+    return t.where("SK_ID_CURR % 4 <> 0"), t.where("SK_ID_CURR % 4 = 0").drop("TARGET")
+
+
+@query("prepared_application", f"""
+    SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 4 = 0 THEN 'test' ELSE 'train' END AS side, CASE WHEN SK_ID_CURR % 4 <> 0 THEN TARGET END AS target, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c}) - 1 END AS {c}' for c in [*_TEXT, 'WALLSMATERIAL_MODE'])}, round(CAST({f32('AMT_CREDIT', 'AMT_ANNUITY')} AS DOUBLE), 4) AS CREDIT_ANNUITY_RATIO FROM ({_WITH_TEXT})""")
+def prepared_application(spark, d):
+    """Both tables with the second feature set, text coded by their shared vocabulary."""
+    from riskloom.operators.prepared import prepare
+
+    p = prepare(*application_tables(spark, d), P.second_set)
+    named = ["SK_ID_CURR", *p.categorical, F.round(F.col("CREDIT_ANNUITY_RATIO").cast("double"), 4).alias("CREDIT_ANNUITY_RATIO")]
+    train = p.train.select(F.lit("train").alias("side"), F.col("TARGET").alias("target"), *named)
+    return train.unionByName(p.test.select(F.lit("test").alias("side"), F.lit(None).cast("int").alias("target"), *named))
 
 
 @query("newest_loans", f"SELECT SK_ID_CURR, SK_ID_BUREAU, CAST(row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY DAYS_CREDIT DESC, SK_ID_BUREAU) AS INTEGER) AS place FROM ({LOANS.replace('{days}', DUCK_DAYS)}) QUALIFY row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY DAYS_CREDIT DESC, SK_ID_BUREAU) <= 3")
