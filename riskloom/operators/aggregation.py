@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 STATS = ("count", "sum", "sum_observed", "mean", "min", "max", "last", "nunique", "std", "var")
@@ -138,3 +138,13 @@ def joined_one_to_one(left: DataFrame, right: DataFrame, key: list[str] | str) -
 def trimmed_mean(x: Column) -> Column:
     """Without one least and one greatest value; NULL for fewer than three."""
     return F.when(F.count(x) > 2, (F.sum(x) - F.min(x) - F.max(x)) / (F.count(x) - 2))
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that its next run measures on the way, without a job of their own, and where to get them.
+
+    In Spark 4.1 a session that has observed something can't send a model with a training summary (a logistic one) to
+    its tasks any more; observe frames of a ``newSession()`` where such models are used too.
+    """
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen

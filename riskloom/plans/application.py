@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.numeric import clean, flag, float32, float_difference, pair_features, plain_divide, require, row_count, row_max, row_mean, row_median, row_min, row_product, row_std, row_sum, safe_divide, starting_with, without_sentinel
+from riskloom.functions.numeric import clean, flag, float32, pair_features, plain_divide, require, row_count, row_max, row_mean, row_median, row_min, row_product, row_std, row_sum, safe_divide, starting_with, without_sentinel
 from riskloom.operators.prepared import aligned  # noqa: F401
 
 # Source columns.
@@ -105,7 +105,7 @@ def factorial(df: DataFrame, factors: str) -> DataFrame:
     if "R" in factors:
         new["CREDIT_ANNUITY_RATIO"] = safe_divide(F.col("AMT_CREDIT"), F.col("AMT_ANNUITY"))
     if "D" in factors:
-        new["CREDIT_GOODS_DIFF"] = float_difference(F.col("AMT_CREDIT"), F.col("AMT_GOODS_PRICE"))
+        new["CREDIT_GOODS_DIFF"] = float32(F.col("AMT_CREDIT") - F.col("AMT_GOODS_PRICE"))
     clash = set(new) & set(out.columns)
     if clash:
         raise ValueError(f"would overwrite {sorted(clash)}")

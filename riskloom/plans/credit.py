@@ -205,6 +205,43 @@ def factorial_nrd(spark, d):
     return doubles(P.factorial(applications(spark, d), "NR").select("SK_ID_CURR", *_NRD), "SK_ID_CURR")
 
 
+_NRD_ALL = _NRD | {"CREDIT_INCOME_RATIO": f32("AMT_CREDIT", "AMT_INCOME_TOTAL"), "INCOME_PER_PERSON": f32("AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"), "CREDIT_GOODS_DIFF": "CAST(AMT_CREDIT - AMT_GOODS_PRICE AS FLOAT)"}
+
+
+@query("factorial_all", f"{published(_NRD_ALL, 'SK_ID_CURR')} FROM (SELECT SK_ID_CURR, {', '.join(f'{v} AS {k}' for k, v in _NRD_ALL.items())} FROM ({APPLICATIONS}))")
+def factorial_all(spark, d):
+    """All three changes at once."""
+    return doubles(P.factorial(applications(spark, d), "NRD").select("SK_ID_CURR", *_NRD_ALL), "SK_ID_CURR")
+
+
+@query("replayed_ratios", "SELECT count(*) AS n, true AS same, false AS same_without_difference FROM orders")
+def replayed_ratios(spark, d):
+    """Whether the three changes together are the second set's ratios, value by value, and two of them are not."""
+    from riskloom.operators.gates import same_matrix
+
+    t = applications(spark, d)
+    second = P.second_set(t, ["ratios"])
+    same, less = (same_matrix(P.factorial(t, f), second, "SK_ID_CURR") for f in ("NRD", "NR"))
+    return t.agg(F.count("*").alias("n"), F.lit(same).alias("same"), F.lit(less).alias("same_without_difference"))
+
+
+@query("aggregation_diagnostics", f"""
+    WITH l AS ({LOANS.replace('{days}', DUCK_DAYS)}), b AS ({BALANCES})
+    SELECT (SELECT count(*) FROM l) AS loan_rows, (SELECT count(*) FROM b) AS month_rows, (SELECT count(DISTINCT SK_ID_BUREAU) FROM b) AS month_loans, (SELECT count(*) FROM l WHERE SK_ID_BUREAU IN (SELECT SK_ID_BUREAU FROM b)) AS covered_loans, (SELECT count(DISTINCT SK_ID_CURR) FROM l) AS feature_rows, (SELECT count(*) FROM b WHERE STATUS IS NULL) AS unknown_status""")
+def aggregation_diagnostics(spark, d):
+    """Counts of a nested aggregation, taken by its own run: rows in, loans with months, loans covered, rows out."""
+    from riskloom.operators.aggregation import observed
+
+    one, own = F.count("*"), spark.newSession()  # see ``observed``
+    months, of_months = observed(balances(own, d), "months", month_rows=one, unknown_status=F.count_if(F.col("STATUS").isNull()))
+    per_loan, of_loans = observed(months.groupBy("SK_ID_BUREAU").agg(F.count("*").alias("months")), "months by loan", month_loans=one)
+    rows, of_rows = observed(loans(own, d).select("SK_ID_CURR", "SK_ID_BUREAU").join(per_loan, "SK_ID_BUREAU", "left"), "loans", loan_rows=one, covered_loans=F.count("months"))
+    out, of_out = observed(rows.groupBy("SK_ID_CURR").agg(F.sum("months").alias("months")), "clients", feature_rows=one)
+    out.write.format("noop").mode("overwrite").save()  # the features' own job; the metrics come with it
+    said = {k: v for o in (of_months, of_loans, of_rows, of_out) for k, v in o.get.items()}
+    return spark.createDataFrame([tuple(said.values())], ", ".join(f"{k} long" for k in said))
+
+
 @query("block_roundtrip")
 def block_roundtrip(spark, d):
     """A mart saved as a block, loaded again and merged onto the applicants; rows only."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskloom.operators import aggregation as A
+from riskloom.operators.filters import rows_of
 from riskloom.plans.registry import query, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -75,6 +76,12 @@ def semi_join(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_semi")
 
 
+@query("pruned_rows_of_ids", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 250000)")
+def pruned_rows_of_ids(spark, d):
+    ids = table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return rows_of(table(spark, d, "lineitem"), "l_orderkey", ids, ["l_orderkey", "l_quantity"], few=100)
+
+
 @query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark, d):
     big = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from riskloom.operators import drift as D
 from riskloom.operators import evaluation as E
+from riskloom.operators import gates as G
 from riskloom.plans.registry import query, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -133,9 +135,7 @@ _SUMMARY = f"WITH {_FOLDS}, p AS (SELECT f.*, f.score - b.score AS delta FROM f
 
 @query("screening_gate", f"{_SUMMARY} SELECT experiment, CASE WHEN experiment = 'view' THEN 'CONTROL' WHEN delta >= 0.0005 AND positive >= 4 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s")
 def screening_gate(spark, d):
-    s = E.ablation_summary(fold_scores(spark, d), "view")
-    ok = (F.col("mean_delta") >= 0.0005) & (F.col("positive_folds") >= 4)
-    return s.select("experiment", F.when(F.col("experiment") == "view", "CONTROL").when(ok, "PASS").otherwise("FAIL").alias("verdict"))
+    return G.screening(E.ablation_summary(fold_scores(spark, d), "view"), "view")
 
 
 @query("robustness_gate", f"""
@@ -150,6 +150,50 @@ def robustness_gate(spark, d):
     return g.select("experiment", "positive_folds", R(F.col("m"), 5).alias("mean_delta"), R(F.col("t"), 5).alias("trimmed"), ((F.col("positive_folds") >= 4) & (F.col("m") > 0) & (F.col("t") > 0)).alias("passed"))
 
 
+_RUNS = "r AS (SELECT event_type AS experiment, CAST(user_id % 3 AS INTEGER) AS seed, CAST(event_id % 5 + 1 AS INTEGER) AS fold, round(avg(value), 6) AS score FROM events GROUP BY 1, 2, 3), o AS (SELECT event_type AS experiment, CAST(user_id % 3 AS INTEGER) AS seed, round(avg(value), 6) AS score FROM events GROUP BY 1, 2)"
+
+
+@query("robustness_crossed", f"""
+    WITH {_RUNS}, f AS (SELECT r.experiment, r.score - b.score AS delta FROM r JOIN r b ON b.seed = r.seed AND b.fold = r.fold AND b.experiment = 'view' WHERE r.experiment <> 'view'),
+    s AS (SELECT o.experiment, o.score - b.score AS delta FROM o JOIN o b ON b.seed = o.seed AND b.experiment = 'view' WHERE o.experiment <> 'view'),
+    x AS (SELECT experiment, count(*) FILTER (WHERE delta > 0) AS positive_folds, (sum(delta) - min(delta) - max(delta)) / (count(*) - 2) AS t, min(delta) AS low, max(delta) AS high FROM f GROUP BY 1),
+    y AS (SELECT experiment, count(*) FILTER (WHERE delta > 0) AS positive_seeds, avg(delta) AS m FROM s GROUP BY 1)
+    SELECT x.experiment, positive_seeds, positive_folds, round(m, 5) AS mean_seed_delta, round(t, 5) AS trimmed_fold_delta, round(low, 5) AS low, round(high, 5) AS high, positive_seeds >= 2 AND positive_folds >= 10 AND m > 0 AND t > 0 AS accepted FROM x JOIN y ON x.experiment = y.experiment""")
+def robustness_crossed(spark, d):
+    """Three seeds by five folds: all four rules."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("experiment"), (F.col("user_id") % 3).cast("int").alias("seed"), (F.col("event_id") % 5 + 1).cast("int").alias("fold"), "value")
+    score = R(F.avg("value")).alias("score")
+    runs = e.groupBy("experiment", "seed", "fold").agg(score).unionByName(e.groupBy("experiment", "seed").agg(score), allowMissingColumns=True)
+    out = G.robustness(runs, "view")
+    return out.withColumns({c: R(F.col(c), 5) for c in ("mean_seed_delta", "trimmed_fold_delta", "low", "high")})
+
+
+_DRIFT = {"value": 10, "user_id": 10, "event_type": 0}
+
+
+def _csi_sql(c, bins):
+    side = lambda op: f"ts {op} TIMESTAMP '2024-01-16'"
+    v = f"CASE WHEN user_id % 9 = 0 AND {side('>=')} THEN NULL ELSE value END" if c == "value" else c
+    edges = ", ".join(f"quantile_cont(v, {k / bins!r})" for k in range(1, bins)) if bins else ""
+    e = f"e AS (SELECT list_distinct([{edges}]) AS edges FROM t WHERE early)," if bins else ""
+    b = "CASE WHEN v IS NOT NULL THEN CAST(len(list_filter((SELECT edges FROM e), lambda q: q <= v)) AS VARCHAR) END" if bins else "v"
+    return f"""SELECT * FROM (WITH t AS (SELECT {'CAST(' * bool(bins)}{v}{' AS DOUBLE)' * bool(bins)} AS v, {side('<')} AS early FROM events), {e}
+        h AS (SELECT {b} AS bin, count(*) FILTER (WHERE early) AS r, count(*) FILTER (WHERE NOT early) AS a FROM t GROUP BY 1),
+        s AS (SELECT bin, r / sum(r) OVER () AS r, a / sum(a) OVER () AS a FROM h)
+        SELECT '{c}' AS feature, round(sum((greatest(a, 0.0001) - greatest(r, 0.0001)) * ln(greatest(a, 0.0001) / greatest(r, 0.0001))), 6) AS csi, round(coalesce(sum(r) FILTER (WHERE bin IS NULL), 0), 6) AS missing_reference, round(coalesce(sum(a) FILTER (WHERE bin IS NULL), 0), 6) AS missing_actual,
+          round(coalesce(sum(a) FILTER (WHERE bin IS NULL), 0) - coalesce(sum(r) FILTER (WHERE bin IS NULL), 0), 6) AS missing_delta, round(coalesce(sum(a) FILTER (WHERE r = 0), 0), 6) AS new_share FROM s)"""
+
+
+@query("feature_drift", " UNION ALL ".join(_csi_sql(c, b) for c, b in _DRIFT.items()))
+def feature_drift(spark, d):
+    """Two numbers and a text before and after a day; later rows lack some values."""
+    cut = F.lit("2024-01-16").cast("timestamp")
+    t = table(spark, d, "events")
+    late = t.where(F.col("ts") >= cut).withColumn("value", F.when(F.col("user_id") % 9 != 0, F.col("value")))
+    out = D.feature_drift(t.where(F.col("ts") < cut), late, list(_DRIFT))
+    return out.select("feature", *[R(F.col(c)).alias(c) for c in out.columns if c != "feature"])
+
+
 _SELECT = "s AS (SELECT 'e' || o_orderpriority AS experiment, round(avg(o_totalprice) / 1e6, 4) AS oof_auc, round(stddev_samp(o_totalprice) / 1e9, 6) AS std_fold_auc, CAST(count(*) % 3 + 3 AS INTEGER) AS positive_folds, CAST(count(*) % 7 AS INTEGER) AS n_features, CAST(count(*) % 2 AS INTEGER) AS n_overwritten FROM orders GROUP BY 1)"
 
 

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import io
 import os
-import tempfile
 import zipfile
+from collections.abc import Iterator
+from csv import reader
 from pathlib import Path
+from typing import IO
 
+import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.numeric import clean
+from riskloom.operators.filters import rows_of
 
 # File, key and required columns of each table.
 TABLES = {
@@ -30,6 +36,8 @@ ALIASES = {"train": "application_train", "test": "application_test", "pos_cash":
 STRINGS = ("NAME_", "CODE_", "STATUS", "CREDIT_ACTIVE", "CREDIT_CURRENCY", "CREDIT_TYPE", "ORGANIZATION_TYPE", "OCCUPATION_TYPE", "WEEKDAY_", "PRODUCT_", "CHANNEL_", "FLAG_OWN_", "FLAG_LAST_APPL", "FONDKAPREMONT", "HOUSETYPE", "WALLSMATERIAL", "EMERGENCYSTATE")
 WHOLE = ("SK_ID_", "MONTHS_BALANCE", "TARGET", "NUM_INSTALMENT_NUMBER")
 FOLDER_VARIABLE = "RISKLOOM_DATA"
+#: Bytes of unpacked text that an archive is read by.
+BLOCK = 4 << 20
 
 
 class SchemaError(ValueError):
@@ -40,7 +48,7 @@ def find_folder(folder: str | None = None) -> str:
     """The given folder, that of the environment variable, or data/ in or above the working directory."""
     tried = [folder, os.environ.get(FOLDER_VARIABLE), *(str(p / "data") for p in [Path.cwd(), *Path.cwd().parents])]
     for place in filter(None, tried):
-        if "://" in place or any((Path(place) / f).exists() for f, _, _ in TABLES.values()):
+        if "://" in place or any((Path(place) / f).exists() for f, _, _ in TABLES.values()) or (place == folder and detect_folder(place)):
             return place
     raise FileNotFoundError(f"no table files; looked in {[p for p in tried if p]}")
 
@@ -74,21 +82,64 @@ def declared_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, kind(c)) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """A CSV file with a header, or a ZIP archive of one under a .csv name, with declared types and NaN as NULL."""
-    local = path.removeprefix("file://")
-    if os.path.isfile(local) and zipfile.is_zipfile(local):
-        with zipfile.ZipFile(local) as z:
-            inner = [n for n in z.namelist() if n.lower().endswith(".csv")]
-            if len(inner) != 1:
-                raise SchemaError(f"{path}: one CSV file expected, found {inner}")
-            # one small machine's file; on a cluster unpack to shared storage first
-            path = z.extract(inner[0], tempfile.mkdtemp(prefix="spark-"))
-    header = spark.read.text(path).first()
-    if header is None:
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    row = spark.read.text(path).first()
+    return None if row is None else row[0]
+
+
+def _member(content: bytes, path: str) -> IO[bytes]:
+    """The one CSV file of an archive, as a stream."""
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    inner = [n for n in archive.namelist() if n.lower().endswith(".csv")]
+    if len(inner) != 1:
+        raise SchemaError(f"{path}: one CSV file expected, found {inner}")
+    return archive.open(inner[0])
+
+
+def _zipped(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """An archive's rows as text columns, or without ``columns`` its first line alone. Unpacked in a task as it is read:
+    the task holds the packed bytes and one block of rows; nothing is written to a local folder."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with _member(content.as_buffer().to_pybytes(), name) as stream:
+                    yield pa.RecordBatch.from_pydict({"value": [stream.readline().decode("utf-8-sig").rstrip("\r\n")]})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {c: pa.string() for c in columns or ()}
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                with _member(content.as_buffer().to_pybytes(), name) as stream:
+                    yield from csv.open_csv(stream, read_options=csv.ReadOptions(block_size=BLOCK), parse_options=csv.ParseOptions(newlines_in_values=True), convert_options=csv.ConvertOptions(column_types=kinds, null_values=[""], strings_can_be_null=True, quoted_strings_can_be_null=False))
+
+    packed = spark.read.format("binaryFile").load(path).select("path", "content")
+    if columns is None:
+        return packed.mapInArrow(lines, "value string")
+    return packed.mapInArrow(rows, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+
+
+def read_csv(spark: SparkSession, path: str, rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file with a header, or a ZIP archive of one under a .csv name, with declared types and NaN as NULL.
+
+    Any place that Spark reads will do. ``columns``: only these are read and returned.
+    """
+    first = _first_line(spark, path)
+    packed = first is not None and first.startswith("PK\x03\x04")
+    line = _zipped(spark, path).first()[0] if packed else first
+    if not line:
         raise SchemaError(f"{path} is empty")
-    columns = spark.read.csv(spark.createDataFrame([(header[0],)], "value string").rdd.map(lambda r: r[0]), header=True).columns
-    df = clean(spark.read.schema(declared_schema(columns)).option("header", True).option("nanValue", "NaN").csv(path))
+    names = next(reader([line.removeprefix("\ufeff")]))
+    missing = [c for c in columns or () if c not in names]
+    if missing:
+        raise SchemaError(f"{path}: missing columns {missing}")
+    schema = declared_schema(names)
+    if packed:
+        text = _zipped(spark, path, names)
+        df = text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    else:
+        df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").csv(path)
+    df = clean(df.select(*columns) if columns else df)
     return df.limit(rows) if rows is not None else df
 
 
@@ -98,20 +149,36 @@ def validate(df: DataFrame, table: str) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise SchemaError(f"{table}: missing columns {missing}")
-    if key and df.groupBy(key).count().where("count > 1").limit(1).count():
+    wrong = F.max((F.col("TARGET").isNotNull() & ~F.col("TARGET").isin(0, 1)).cast("int")) if "TARGET" in df.columns else F.lit(0)
+    if not key and "TARGET" not in df.columns:
+        return df
+    counted = df.groupBy(key).agg(F.count("*").alias("n"), wrong.alias("wrong")) if key else df.agg(F.lit(1).alias("n"), wrong.alias("wrong"))
+    row = counted.agg(F.max("n").alias("n"), F.max("wrong").alias("wrong")).first()
+    if (row.n or 0) > 1:
         raise SchemaError(f"{table}: repeated {key}")
-    if "TARGET" in df.columns and df.where(F.col("TARGET").isNotNull() & ~F.col("TARGET").isin(0, 1)).limit(1).count():
+    if row.wrong:
         raise SchemaError(f"{table}: TARGET must be 0 or 1")
     return df
 
 
-def load_table(spark: SparkSession, table: str, folder: str | None = None, rows: int | None = None, check: bool = True) -> DataFrame:
+def load_table(spark: SparkSession, table: str, folder: str | None = None, rows: int | None = None, check: bool = True, columns: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """One table by name or alias, from ``folder`` itself or, if its file isn't there, from wherever it is below.
+
+    ``columns`` reads these alone and is not validated beyond them; ``ids`` (a frame with the table's client or loan id)
+    keeps the rows of those ids, see ``filters.rows_of``.
+    """
     name = table_names(table)[0]
-    path = f"{find_folder(folder)}/{TABLES[name][0]}"
+    place = find_folder(folder)
+    path = f"{place}/{TABLES[name][0]}"
     if "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(f"{name}: no file {path}")
-    df = read_csv(spark, path, rows)
-    return validate(df, name) if check else df
+        path = detect_folder(place).get(name, "")
+        if not path:
+            raise FileNotFoundError(f"{name}: no file {TABLES[name][0]} in or below {place}")
+    key = ids.columns[0] if ids is not None else None
+    df = read_csv(spark, path, rows, None if columns is None else list(dict.fromkeys([*([key] if key else []), *columns])))
+    if check and columns is None:
+        df = validate(df, name)
+    return df if ids is None else rows_of(df, key, ids, columns or df.columns)
 
 
 def load_tables(spark: SparkSession, tables: str | list[str] | None = None, folder: str | None = None, rows: int | None = None) -> dict[str, DataFrame]:
