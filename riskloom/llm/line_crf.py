@@ -96,53 +96,50 @@ def marginals(evidence: np.ndarray, counts: np.ndarray, stay: np.ndarray) -> np.
     return np.array(out)
 
 
-def _padded(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents by lines by features, longest first, and the order."""
-    order = np.argsort(-counts, kind="stable")
-    out = np.zeros((len(counts), int(counts.max()), x.shape[1]), np.float32)
-    first = np.cumsum(counts) - counts
-    for k, d in enumerate(order.tolist()):
-        out[k, : counts[d]] = x[first[d] : first[d] + counts[d]]
-    return out, order
-
-
 def train(x: np.ndarray, weights: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """Maximum likelihood with a small ridge, by Adam on all documents; then the calibration."""
-    lines, order = _padded(x, counts)
-    lengths, y = counts[order], labels[order].astype(np.float64)
-    docs, longest, wide = lines.shape
-    mask = np.arange(longest)[None] < lengths[:, None]
-    share = mask / lengths[:, None] ** 0.5
+    """Maximum likelihood with a small ridge, by Adam on all documents; then the calibration.
+
+    Lines are kept once, by their place in the document and then by document, longest first: the lines of one place are
+    a slice, and its documents are the first of those of the place before. No document is padded.
+    """
+    order = np.argsort(-counts, kind="stable")
+    lengths, y, first = counts[order], labels[order].astype(np.float64), (np.cumsum(counts) - counts)[order]
+    docs, longest, wide = len(counts), int(counts.max()), x.shape[1]
     live = [int((lengths > t).sum()) for t in range(longest)]
+    at = np.concatenate(([0], np.cumsum(live)))
+    lines = x[np.concatenate([first[:n] + t for t, n in enumerate(live)])]
+    of = np.concatenate([np.arange(n) for n in live])
+    share, last = (lengths**-0.5)[of], at[lengths - 1] + np.arange(docs)
+    of_place = [slice(at[t], at[t + 1]) for t in range(longest)]
     theta = np.zeros(wide + 4)
     theta[wide:] = [1, 0, 0, 1]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    same = np.where(y > 0, 3, 0)
+    kept = np.zeros(4)
+    for good in (0, 1):  # transitions that stay within the document's own label
+        kept[3 * good] = share[at[1] :][(y[of] > 0)[at[1] :] == bool(good)].sum()
     for step in range(1, rounds + 1):
-        evidence, trans = lines @ theta[:wide].astype(np.float32), theta[wide:].reshape(2, 2)
-        forward, backward = np.zeros((docs, longest, 2)), np.zeros((docs, longest, 2))
-        for t in range(longest):
-            n = live[t]
-            a = forward[:n, t - 1, :, None] + trans if t else np.zeros((n, 1, 2))
-            forward[:n, t] = np.logaddexp.reduce(a, axis=1) if t else 0
-            forward[:n, t, 1] += evidence[:n, t]
+        evidence, trans = (lines @ theta[:wide].astype(np.float32)).astype(np.float64), theta[wide:].reshape(2, 2)
+        forward, backward = np.zeros((len(lines), 2)), np.zeros((len(lines), 2))
+        for t, here in enumerate(of_place):
+            if t:
+                forward[here] = np.logaddexp.reduce(forward[at[t - 1] : at[t - 1] + live[t], :, None] + trans, axis=1)
+            forward[here, 1] += evidence[here]
         for t in range(longest - 2, -1, -1):
-            n = live[t + 1]
-            b = backward[:n, t + 1].copy()
-            b[:, 1] += evidence[:n, t + 1]
-            backward[:n, t] = np.logaddexp.reduce(trans + b[:, None, :], axis=2)
+            b = backward[of_place[t + 1]].copy()
+            b[:, 1] += evidence[of_place[t + 1]]
+            backward[at[t] : at[t] + live[t + 1]] = np.logaddexp.reduce(trans + b[:, None, :], axis=2)
         joint = forward + backward
-        good = 1 / (1 + np.exp(np.clip(joint[..., 0] - joint[..., 1], -50, 50)))
+        good = 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -50, 50)))
         grad = np.zeros_like(theta)
-        grad[:wide] = np.einsum("dt,dtf->f", (y[:, None] - good) * share, lines)
-        logz = np.logaddexp.reduce(forward[np.arange(docs), lengths - 1], axis=1)
+        grad[:wide] = ((y[of] - good) * share).astype(np.float32) @ lines
+        grad[wide:] = kept
+        logz = np.logaddexp.reduce(forward[last], axis=1)
         for t in range(1, longest):
-            n = live[t]
-            b = backward[:n, t].copy()
-            b[:, 1] += evidence[:n, t]
-            pair = np.exp(forward[:n, t - 1, :, None] + trans + b[:, None, :] - logz[:n, None, None]) * share[:n, t, None, None]
+            here, n = of_place[t], live[t]
+            b = backward[here].copy()
+            b[:, 1] += evidence[here]
+            pair = np.exp(forward[at[t - 1] : at[t - 1] + n, :, None] + trans + b[:, None, :] - logz[:n, None, None]) * share[here, None, None]
             grad[wide:] -= pair.sum(axis=0).ravel()
-            np.add.at(grad, wide + same[:n], share[:n, t])
         grad = grad / docs - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
