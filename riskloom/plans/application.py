@@ -36,6 +36,7 @@ def first_set(df: DataFrame) -> DataFrame:
     out = clean(df.withColumn("DAYS_EMPLOYED_ANOMALOUS", flag(F.col("DAYS_EMPLOYED") == 365243)).withColumn("DAYS_EMPLOYED", without_sentinel(F.col("DAYS_EMPLOYED"))))
     out = out.withColumns({name: plain_divide(F.col(a), F.col(b)) for name, (a, b) in RATIOS.items()} | {"CAR_BIRTH_RATIO": plain_divide(F.col("OWN_CAR_AGE"), F.abs("DAYS_BIRTH"))})
     x = [F.col(c) for c in EXTERNAL]
+    # Fixed values here and in the families below: the features' names.
     made = {"MEAN": row_mean(*x), "MEDIAN": row_median(*x), "MIN": row_min(*x), "MAX": row_max(*x), "STD": row_std(*x), "MISSING_COUNT": F.lit(len(x)) - row_count(*x), "PRODUCT": row_product(*x), "RANGE": row_max(*x) - row_min(*x)}
     out = out.withColumns({f"EXT_SOURCE_{k}": v for k, v in made.items()} | pair_features(EXTERNAL))
     contacts = [F.col(c) for c in CONTACTS if c in df.columns]

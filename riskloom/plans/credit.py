@@ -27,6 +27,10 @@ def f32(a, b):
     return f"CAST(CAST(CAST({a} AS FLOAT) AS DOUBLE) / nullif(CAST(CAST({b} AS FLOAT) AS DOUBLE), 0) AS FLOAT)"
 
 
+def minus(a, b):
+    return f"CAST(CAST(CAST({a} AS FLOAT) AS DOUBLE) - CAST(CAST({b} AS FLOAT) AS DOUBLE) AS FLOAT)"
+
+
 def aggs(spec):
     return ", ".join(a.sql() for a in spec)
 
@@ -90,19 +94,27 @@ def mart_bureau_like(spark, d):
     return doubles(M.bureau(loans(spark, d), balances(spark, d)), M.CLIENT)
 
 
-_HISTORY = ["LOAN_COUNT", "ACTIVE_COUNT", "SOLD_COUNT", "CREDIT_TYPE_NUNIQUE", "CREDIT_PROLONG_SUM", "ACTIVE_LOAN_RATIO", "BB_COVERAGE_RATIO", "CREDIT_SUM", "DEBT_SUM", "DEBT_MEAN", "ACTIVE_CREDIT_SUM", "DEBT_CREDIT_RATIO", "OVERDUE_DEBT_RATIO", "DAYS_CREDIT_MAX", "ACTIVE_ENDDATE_MAX", "CLOSED_ENDDATE_DELAY_MEAN", "BB_MONTHS_BALANCE_MIN", "BB_MONTHS_SINCE_LAST_DPD", "BB_MONTH_COUNT", "BB_STATUS_C_TOTAL_RATIO", "BB_ANY_DPD_OBSERVED_RATIO", "BB_SEVERE_DPD_TOTAL_RATIO"]
+_HISTORY = [
+    "LOAN_COUNT", "ACTIVE_COUNT", "SOLD_COUNT", "CREDIT_TYPE_NUNIQUE", "CREDIT_PROLONG_SUM", "ACTIVE_LOAN_RATIO", "BB_COVERAGE_RATIO",
+    "CREDIT_SUM", "CREDIT_MAX", "DEBT_SUM", "DEBT_MEAN", "DEBT_MAX", "ACTIVE_CREDIT_SUM", "ACTIVE_DEBT_SUM", "OVERDUE_SUM", "LIMIT_SUM", "ANNUITY_SUM", "DEBT_CREDIT_RATIO", "OVERDUE_DEBT_RATIO",
+    "DAYS_CREDIT_MAX", "DAYS_CREDIT_MIN", "DAYS_CREDIT_MEAN", "ACTIVE_ENDDATE_MAX", "CLOSED_ENDDATE_FACT_MAX", "CLOSED_ENDDATE_DELAY_MEAN", "BB_MONTHS_BALANCE_MIN", "BB_MONTHS_BALANCE_MAX", "BB_MONTHS_SINCE_LAST_DPD",
+    "CREDIT_DAY_OVERDUE_MAX", "BB_MONTH_COUNT", "BB_STATUS_0_TOTAL_RATIO", "BB_STATUS_C_TOTAL_RATIO", "BB_ANY_DPD_TOTAL_RATIO", "BB_SEVERE_DPD_TOTAL_RATIO", "BB_ANY_DPD_OBSERVED_RATIO", "BB_SEVERE_DPD_OBSERVED_RATIO",
+]
 
 
 @query("mart_e03_like", f"""
-    WITH loans AS ({LOANS.replace('{days}', DUCK_DAYS)}), m AS (SELECT SK_ID_BUREAU, count(*) AS t, count(*) FILTER (WHERE STATUS IN ('0','1','2','3','4','5')) AS o, count(*) FILTER (WHERE STATUS = 'C') AS c, count(*) FILTER (WHERE STATUS IN ('1','2','3','4','5')) AS a, count(*) FILTER (WHERE STATUS IN ('3','4','5')) AS s, min(MONTHS_BALANCE) AS low, -max(MONTHS_BALANCE) FILTER (WHERE STATUS IN ('1','2','3','4','5')) AS since FROM ({BALANCES}) GROUP BY 1),
+    WITH loans AS ({LOANS.replace('{days}', DUCK_DAYS)}), m AS (SELECT SK_ID_BUREAU, count(*) AS t, count(*) FILTER (WHERE STATUS IN ('0','1','2','3','4','5')) AS o, count(*) FILTER (WHERE STATUS = '0') AS z, count(*) FILTER (WHERE STATUS = 'C') AS c, count(*) FILTER (WHERE STATUS IN ('1','2','3','4','5')) AS a, count(*) FILTER (WHERE STATUS IN ('3','4','5')) AS s, min(MONTHS_BALANCE) AS low, max(MONTHS_BALANCE) AS high, -max(MONTHS_BALANCE) FILTER (WHERE STATUS IN ('1','2','3','4','5')) AS since FROM ({BALANCES}) GROUP BY 1),
     j AS (SELECT * FROM loans LEFT JOIN m USING (SK_ID_BUREAU)),
     g AS (SELECT SK_ID_CURR, count(*) AS BUREAU_LOAN_COUNT, count(*) FILTER (WHERE CREDIT_ACTIVE = 'Active') AS BUREAU_ACTIVE_COUNT, count(*) FILTER (WHERE CREDIT_ACTIVE = 'Sold') AS BUREAU_SOLD_COUNT, count(DISTINCT CREDIT_TYPE) AS BUREAU_CREDIT_TYPE_NUNIQUE, sum(CNT_CREDIT_PROLONG) AS BUREAU_CREDIT_PROLONG_SUM,
       {f32("count(*) FILTER (WHERE CREDIT_ACTIVE = 'Active')", 'count(*)')} AS BUREAU_ACTIVE_LOAN_RATIO, {f32('count(t)', 'count(*)')} AS BUREAU_BB_COVERAGE_RATIO, sum(AMT_CREDIT_SUM) AS BUREAU_CREDIT_SUM, sum(AMT_CREDIT_SUM_DEBT) AS BUREAU_DEBT_SUM, avg(AMT_CREDIT_SUM_DEBT) AS BUREAU_DEBT_MEAN, sum(AMT_CREDIT_SUM) FILTER (WHERE CREDIT_ACTIVE = 'Active') AS BUREAU_ACTIVE_CREDIT_SUM,
       {f32('sum(AMT_CREDIT_SUM_DEBT)', 'sum(AMT_CREDIT_SUM)')} AS BUREAU_DEBT_CREDIT_RATIO, {f32('sum(AMT_CREDIT_SUM_OVERDUE)', 'sum(AMT_CREDIT_SUM_DEBT)')} AS BUREAU_OVERDUE_DEBT_RATIO, max(DAYS_CREDIT) AS BUREAU_DAYS_CREDIT_MAX, max(DAYS_CREDIT_ENDDATE) FILTER (WHERE CREDIT_ACTIVE = 'Active') AS BUREAU_ACTIVE_ENDDATE_MAX, avg(DAYS_ENDDATE_FACT - DAYS_CREDIT_ENDDATE) FILTER (WHERE CREDIT_ACTIVE = 'Closed') AS BUREAU_CLOSED_ENDDATE_DELAY_MEAN,
-      min(low) AS BUREAU_BB_MONTHS_BALANCE_MIN, min(since) AS BUREAU_BB_MONTHS_SINCE_LAST_DPD, sum(coalesce(t, 0)) AS BUREAU_BB_MONTH_COUNT, {f32('sum(c)', 'sum(t)')} AS BUREAU_BB_STATUS_C_TOTAL_RATIO, {f32('sum(a)', 'sum(o)')} AS BUREAU_BB_ANY_DPD_OBSERVED_RATIO, {f32('sum(s)', 'sum(t)')} AS BUREAU_BB_SEVERE_DPD_TOTAL_RATIO FROM j GROUP BY 1)
+      min(low) AS BUREAU_BB_MONTHS_BALANCE_MIN, min(since) AS BUREAU_BB_MONTHS_SINCE_LAST_DPD, sum(coalesce(t, 0)) AS BUREAU_BB_MONTH_COUNT, {f32('sum(c)', 'sum(t)')} AS BUREAU_BB_STATUS_C_TOTAL_RATIO, {f32('sum(a)', 'sum(o)')} AS BUREAU_BB_ANY_DPD_OBSERVED_RATIO, {f32('sum(s)', 'sum(t)')} AS BUREAU_BB_SEVERE_DPD_TOTAL_RATIO,
+      max(AMT_CREDIT_SUM) AS BUREAU_CREDIT_MAX, max(AMT_CREDIT_SUM_DEBT) AS BUREAU_DEBT_MAX, sum(AMT_CREDIT_SUM_DEBT) FILTER (WHERE CREDIT_ACTIVE = 'Active') AS BUREAU_ACTIVE_DEBT_SUM, sum(AMT_CREDIT_SUM_OVERDUE) AS BUREAU_OVERDUE_SUM, sum(AMT_CREDIT_SUM_LIMIT) AS BUREAU_LIMIT_SUM, sum(AMT_ANNUITY) AS BUREAU_ANNUITY_SUM,
+      min(DAYS_CREDIT) AS BUREAU_DAYS_CREDIT_MIN, avg(DAYS_CREDIT) AS BUREAU_DAYS_CREDIT_MEAN, max(DAYS_ENDDATE_FACT) FILTER (WHERE CREDIT_ACTIVE = 'Closed') AS BUREAU_CLOSED_ENDDATE_FACT_MAX, max(high) AS BUREAU_BB_MONTHS_BALANCE_MAX, max(CREDIT_DAY_OVERDUE) AS BUREAU_CREDIT_DAY_OVERDUE_MAX,
+      {f32('sum(z)', 'sum(t)')} AS BUREAU_BB_STATUS_0_TOTAL_RATIO, {f32('sum(a)', 'sum(t)')} AS BUREAU_BB_ANY_DPD_TOTAL_RATIO, {f32('sum(s)', 'sum(o)')} AS BUREAU_BB_SEVERE_DPD_OBSERVED_RATIO FROM j GROUP BY 1)
     {published([f'BUREAU_{n}' for n in _HISTORY], 'SK_ID_CURR')} FROM g""")
 def mart_e03_like(spark, d):
-    return doubles(M.bureau_history(loans(spark, d), balances(spark, d)).select(M.CLIENT, *[f"BUREAU_{n}" for n in _HISTORY]), M.CLIENT)
+    return doubles(M.bureau_history(loans(spark, d), balances(spark, d)), M.CLIENT)
 
 
 _PREV = [a.name for a in M.PREVIOUS + M.APPROVED] + [f"PREV_CONTRACT_{c}_COUNT" for c in [*M.CONTRACT_TYPES, "OTHER"]] + [f"PREV_YIELD_{c}_COUNT" for c in [*M.YIELD_GROUPS, "OTHER"]] + ["PREV_RECENT_REFUSAL_COUNT", "PREV_HAS_RECENT_REFUSAL", "PREV_AMT_APPLICATION_TREND"]
@@ -119,9 +131,11 @@ def mart_previous_like(spark, d):
 
 
 _RANKED = "row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY DAYS_INSTALMENT DESC, NUM_INSTALMENT_NUMBER DESC, SK_ID_PREV DESC, DAYS_ENTRY_PAYMENT DESC NULLS LAST, AMT_PAYMENT DESC NULLS LAST)"
-_WINDOWS = ", ".join(f"avg(DPD) FILTER (WHERE due >= -{w}) AS INST_DPD_{w}D_MEAN, max(DPD) FILTER (WHERE due >= -{w}) AS INST_DPD_{w}D_MAX, sum(IS_LATE) FILTER (WHERE due >= -{w}) AS INST_LATE_{w}D_SUM, sum(UNDERPAYMENT) FILTER (WHERE due >= -{w}) AS INST_UNDERPAYMENT_{w}D_SUM, nullif(count(*) FILTER (WHERE due >= -{w}), 0) AS INST_{w}D_COUNT" for w in M.TRAILING)
+_WINDOWS = ", ".join(f"avg(DPD) FILTER (WHERE due >= -{w}) AS INST_DPD_{w}D_MEAN, max(DPD) FILTER (WHERE due >= -{w}) AS INST_DPD_{w}D_MAX, sum(IS_LATE) FILTER (WHERE due >= -{w}) AS INST_LATE_{w}D_SUM, sum(UNDERPAYMENT) FILTER (WHERE due >= -{w}) AS INST_UNDERPAYMENT_{w}D_SUM, nullif(count(*) FILTER (WHERE due >= -{w}), 0) AS INST_{w}D_COUNT, avg(PAYMENT_RATIO) FILTER (WHERE due >= -{w}) AS INST_PAYMENT_RATIO_{w}D_MEAN" for w in M.TRAILING)
 _LAST = ", ".join(f"avg(DPD) FILTER (WHERE rank <= {n}) AS INST_LAST{n}_DPD_MEAN, max(DPD) FILTER (WHERE rank <= {n}) AS INST_LAST{n}_DPD_MAX, avg(PAYMENT_RATIO) FILTER (WHERE rank <= {n}) AS INST_LAST{n}_PAYMENT_RATIO_MEAN, sum(IS_LATE) FILTER (WHERE rank <= {n}) AS INST_LAST{n}_LATE_SUM" for n in M.SEQUENCES)
-_INST = [a.name for a in M.INSTALMENT_CLIENT + M.LIFETIME] + [f"INST_{x}" for w in M.TRAILING for x in (f"DPD_{w}D_MEAN", f"DPD_{w}D_MAX", f"LATE_{w}D_SUM", f"UNDERPAYMENT_{w}D_SUM", f"{w}D_COUNT")] + [f"INST_LAST{n}_{x}" for n in M.SEQUENCES for x in ("DPD_MEAN", "DPD_MAX", "PAYMENT_RATIO_MEAN", "LATE_SUM")] + ["INST_LOANS_WITH_LATE_COUNT", "INST_DAYS_SINCE_LAST_LATE", "INST_DPD_TREND_SLOPE"]
+_INST = [a.name for a in M.INSTALMENT_CLIENT + M.LIFETIME] + [f"INST_{x}" for w in M.TRAILING for x in (f"DPD_{w}D_MEAN", f"DPD_{w}D_MAX", f"LATE_{w}D_SUM", f"PAYMENT_RATIO_{w}D_MEAN", f"UNDERPAYMENT_{w}D_SUM", f"{w}D_COUNT", f"LATE_RATE_{w}D", f"DPD_RECENT_MINUS_LIFE_{w}D", f"LATE_RATE_RECENT_MINUS_LIFE_{w}D")] + [f"INST_LAST{n}_{x}" for n in M.SEQUENCES for x in ("DPD_MEAN", "DPD_MAX", "PAYMENT_RATIO_MEAN", "LATE_SUM")] + ["INST_LOANS_WITH_LATE_COUNT", "INST_DAYS_SINCE_LAST_LATE", "INST_DPD_TREND_SLOPE", "INST_PAYMENT_RATIO_TREND_SLOPE", "INST_LATE_RATE_LIFETIME"]
+_LATE = f32("INST_LATE_LIFETIME_SUM", "INST_COUNT_LIFETIME_COUNT")
+_RATES = ", ".join(f"{f32(f'INST_LATE_{w}D_SUM', f'INST_{w}D_COUNT')} AS INST_LATE_RATE_{w}D, {minus(f'INST_DPD_{w}D_MEAN', 'INST_DPD_LIFETIME_MEAN')} AS INST_DPD_RECENT_MINUS_LIFE_{w}D, {minus(f32(f'INST_LATE_{w}D_SUM', f'INST_{w}D_COUNT'), _LATE)} AS INST_LATE_RATE_RECENT_MINUS_LIFE_{w}D" for w in M.TRAILING)
 
 
 @query("mart_installments_like", f"""
@@ -130,10 +144,11 @@ _INST = [a.name for a in M.INSTALMENT_CLIENT + M.LIFETIME] + [f"INST_{x}" for w
     l AS (SELECT *, {f32('LATE_SUM', 'INST_COUNT')} AS LATE_RATE, {f32('UNDERPAID_SUM', 'INST_COUNT')} AS UNDERPAID_RATE FROM (SELECT SK_ID_CURR, SK_ID_PREV, {aggs(M.INSTALMENT_LOAN)} FROM r GROUP BY 1, 2) LEFT JOIN {streak('r', 'SK_ID_PREV', 'NUM_INSTALMENT_NUMBER, DAYS_INSTALMENT, DAYS_ENTRY_PAYMENT NULLS FIRST, AMT_PAYMENT NULLS FIRST', 'IS_LATE', 'LONGEST_LATE_STREAK', 'LATE_EPISODES')} USING (SK_ID_PREV)),
     c AS (SELECT SK_ID_CURR, {aggs(M.INSTALMENT_CLIENT)}, count(*) FILTER (WHERE LATE_SUM > 0) AS INST_LOANS_WITH_LATE_COUNT FROM l GROUP BY 1),
     f AS (SELECT SK_ID_CURR, {aggs(M.LIFETIME)}, {_WINDOWS}, {_LAST}, -max(due) FILTER (WHERE IS_LATE = 1) AS INST_DAYS_SINCE_LAST_LATE FROM r GROUP BY 1),
-    p AS (SELECT SK_ID_CURR, DPD AS v, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY rank DESC) - 1 AS place FROM r WHERE rank <= 20 AND DPD IS NOT NULL), s AS (SELECT SK_ID_CURR, CASE WHEN count(*) > 1 THEN regr_slope(v, place) END AS INST_DPD_TREND_SLOPE FROM p GROUP BY 1)
-    {published(_INST, 'SK_ID_CURR')} FROM c JOIN f USING (SK_ID_CURR) LEFT JOIN s USING (SK_ID_CURR)""")
+    p AS (SELECT SK_ID_CURR, DPD AS v, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY rank DESC) - 1 AS place FROM r WHERE rank <= 20 AND DPD IS NOT NULL), s AS (SELECT SK_ID_CURR, CASE WHEN count(*) > 1 THEN regr_slope(v, place) END AS INST_DPD_TREND_SLOPE FROM p GROUP BY 1),
+    q AS (SELECT SK_ID_CURR, PAYMENT_RATIO AS v, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY rank DESC) - 1 AS place FROM r WHERE rank <= 20 AND PAYMENT_RATIO IS NOT NULL), u AS (SELECT SK_ID_CURR, CASE WHEN count(*) > 1 THEN regr_slope(v, place) END AS INST_PAYMENT_RATIO_TREND_SLOPE FROM q GROUP BY 1)
+    {published(_INST, 'SK_ID_CURR')} FROM (SELECT *, {_LATE} AS INST_LATE_RATE_LIFETIME, {_RATES} FROM c JOIN f USING (SK_ID_CURR) LEFT JOIN s USING (SK_ID_CURR) LEFT JOIN u USING (SK_ID_CURR))""")
 def mart_installments_like(spark, d):
-    return doubles(M.installments(dressed(spark, d, RENT.replace("{due}", SPARK_DUE), "lineitem", "orders")).select(M.CLIENT, *_INST), M.CLIENT)
+    return doubles(M.installments(dressed(spark, d, RENT.replace("{due}", SPARK_DUE), "lineitem", "orders")), M.CLIENT)
 
 
 @query("mart_installments_full")
@@ -173,7 +188,7 @@ APPLICATIONS = """SELECT o_orderkey AS SK_ID_CURR, CAST(o_orderkey % 2 AS INTEGE
   CAST(o_orderkey % 5 AS DOUBLE) AS CNT_FAM_MEMBERS, CAST(o_orderkey % 3 AS DOUBLE) AS CNT_CHILDREN, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey % 20 AS DOUBLE) END AS OWN_CAR_AGE, CAST(-10000 - o_orderkey % 9000 AS DOUBLE) AS DAYS_BIRTH, CASE WHEN o_orderkey % 6 = 0 THEN 365243.0 ELSE CAST(-(o_orderkey % 4000) AS DOUBLE) END AS DAYS_EMPLOYED, CAST(-(o_orderkey % 1500) AS DOUBLE) AS DAYS_LAST_PHONE_CHANGE,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 97) / CAST(97 AS DOUBLE) END AS EXT_SOURCE_1, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 89) / CAST(89 AS DOUBLE) END AS EXT_SOURCE_2, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 83) / CAST(83 AS DOUBLE) END AS EXT_SOURCE_3,
   CAST(o_orderkey % 2 AS DOUBLE) AS FLAG_DOCUMENT_2, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE 1.0 END AS FLAG_DOCUMENT_3, CAST(o_orderkey % 2 AS DOUBLE) AS FLAG_MOBIL, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 1.0 END AS FLAG_PHONE,
-  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 0.5 END AS APARTMENTS_AVG, 0.25 AS APARTMENTS_MODE, 0.125 AS APARTMENTS_MEDI, (o_orderkey % 7) / CAST(7 AS DOUBLE) AS BASEMENTAREA_AVG, 0.75 AS BASEMENTAREA_MODE, 0.5 AS BASEMENTAREA_MEDI, 'brick' AS WALLSMATERIAL_MODE FROM orders"""
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 0.5 END AS APARTMENTS_AVG, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 13) / CAST(13 AS DOUBLE) END AS APARTMENTS_MODE, (o_orderkey % 5) / CAST(5 AS DOUBLE) AS APARTMENTS_MEDI, (o_orderkey % 7) / CAST(7 AS DOUBLE) AS BASEMENTAREA_AVG, CASE WHEN o_orderkey % 22 = 0 THEN NULL ELSE 0.75 END AS BASEMENTAREA_MODE, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE (o_orderkey % 19) / CAST(19 AS DOUBLE) END AS BASEMENTAREA_MEDI, 'brick' AS WALLSMATERIAL_MODE FROM orders"""
 
 
 def applications(spark, d):
@@ -181,7 +196,33 @@ def applications(spark, d):
     return t.select(*[F.col(c).cast("double").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in t.dtypes])
 
 
-_E01 = {"CREDIT_INCOME_RATIO": "AMT_CREDIT / nullif(AMT_INCOME_TOTAL, 0)", "ANNUITY_CREDIT_RATIO": "AMT_ANNUITY / AMT_CREDIT", "EMPLOYED_BIRTH_RATIO": "CASE WHEN DAYS_EMPLOYED <> 365243 THEN DAYS_EMPLOYED END / DAYS_BIRTH", "INCOME_PER_PERSON": "AMT_INCOME_TOTAL / nullif(CNT_FAM_MEMBERS, 0)", "CAR_BIRTH_RATIO": "OWN_CAR_AGE / abs(DAYS_BIRTH)", "DAYS_EMPLOYED_ANOMALOUS": "CASE WHEN DAYS_EMPLOYED = 365243 THEN 1 ELSE 0 END", "DOCUMENT_FLAG_COUNT": "FLAG_DOCUMENT_2 + coalesce(FLAG_DOCUMENT_3, 0)", "CONTACT_FLAG_COUNT": "FLAG_MOBIL + coalesce(FLAG_PHONE, 0)", "HOUSING_AVG_MEAN": "(coalesce(APARTMENTS_AVG, 0) + BASEMENTAREA_AVG) / (1 + CASE WHEN APARTMENTS_AVG IS NULL THEN 0 ELSE 1 END)", "EXT_SOURCE_MIN": "least(EXT_SOURCE_1, EXT_SOURCE_2, EXT_SOURCE_3)", "EXT_SOURCE_1_DIV_EXT_SOURCE_2": "EXT_SOURCE_1 / nullif(EXT_SOURCE_2, 0)"}
+_EXT = P.EXTERNAL
+_MISSING = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in _EXT)
+_EMPLOYED = "CASE WHEN DAYS_EMPLOYED <> 365243 THEN DAYS_EMPLOYED END"
+
+
+def over(columns, how):
+    """An aggregate of what is there of a row's columns: lists leave missing values out."""
+    return f"list_aggregate([{', '.join(columns)}], '{how}')"
+
+
+def halves(a, b):
+    return f"CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0)"
+
+
+_E01 = {
+    "DAYS_EMPLOYED_ANOMALOUS": "CASE WHEN DAYS_EMPLOYED = 365243 THEN 1 ELSE 0 END",
+    **{name: halves(_EMPLOYED if a == "DAYS_EMPLOYED" else a, b) for name, (a, b) in P.RATIOS.items()},
+    "CAR_BIRTH_RATIO": "OWN_CAR_AGE / abs(DAYS_BIRTH)",
+    **{f"EXT_SOURCE_{k}": over(_EXT, how) for k, how in (("MEAN", "avg"), ("MEDIAN", "median"), ("MIN", "min"), ("MAX", "max"), ("STD", "stddev_samp"))},
+    "EXT_SOURCE_MISSING_COUNT": _MISSING,
+    "EXT_SOURCE_PRODUCT": f"CASE WHEN {_MISSING} < 2 THEN {over(_EXT, 'product')} END",
+    "EXT_SOURCE_RANGE": f"{over(_EXT, 'max')} - {over(_EXT, 'min')}",
+    **{name: sql for i, a in enumerate(_EXT) for b in _EXT[i + 1 :] for name, sql in ((f"{a}_MINUS_{b}", f"{a} - {b}"), (f"{a}_DIV_{b}", halves(a, b)), (f"{b}_DIV_{a}", halves(b, a)))},
+    "DOCUMENT_FLAG_COUNT": "FLAG_DOCUMENT_2 + coalesce(FLAG_DOCUMENT_3, 0)",
+    "CONTACT_FLAG_COUNT": "FLAG_MOBIL + coalesce(FLAG_PHONE, 0)",
+    "HOUSING_AVG_MEAN": over(["APARTMENTS_AVG", "BASEMENTAREA_AVG"], "avg"),
+}
 
 
 @query("e01_ratios", f"{published(_E01, 'SK_ID_CURR')} FROM (SELECT SK_ID_CURR, {', '.join(f'{v} AS {k}' for k, v in _E01.items())} FROM ({APPLICATIONS}))")
@@ -189,7 +230,22 @@ def e01_ratios(spark, d):
     return doubles(P.first_set(applications(spark, d)).select("SK_ID_CURR", *_E01), "SK_ID_CURR")
 
 
-_E02 = {"CREDIT_INCOME_RATIO": f32("AMT_CREDIT", "AMT_INCOME_TOTAL"), "CREDIT_ANNUITY_RATIO": f32("AMT_CREDIT", "AMT_ANNUITY"), "AGE_YEARS": "CAST(-DAYS_BIRTH / 365.25 AS FLOAT)", "EMPLOYED_YEARS": "CASE WHEN DAYS_EMPLOYED <> 365243 THEN CAST(-DAYS_EMPLOYED / 365.25 AS FLOAT) END", "EXT_SOURCE_COUNT": "CASE WHEN EXT_SOURCE_1 IS NULL THEN 0 ELSE 1 END + CASE WHEN EXT_SOURCE_2 IS NULL THEN 0 ELSE 1 END + CASE WHEN EXT_SOURCE_3 IS NULL THEN 0 ELSE 1 END", "PHONE_CHANGE_YEARS": "CAST(-DAYS_LAST_PHONE_CHANGE / 365.25 AS FLOAT)", "CHILDREN_RATIO": f32("CNT_CHILDREN", "CNT_FAM_MEMBERS"), "HOUSING_NUMERIC_AVG_MAX": "CAST(greatest(APARTMENTS_AVG, BASEMENTAREA_AVG) AS FLOAT)", "HOUSING_NUMERIC_MODE_MIN": "0.25", "HOUSING_NUMERIC_MEDI_MEAN": "0.3125"}
+_FLOATS = [f"CAST(CAST({c} AS FLOAT) AS DOUBLE)" for c in _EXT]
+_E02 = {
+    **{name: f32(*P.RATIOS[name]) for name in P.FOUR},
+    "CREDIT_ANNUITY_RATIO": f32("AMT_CREDIT", "AMT_ANNUITY"),
+    "CREDIT_GOODS_DIFF": "CAST(AMT_CREDIT - AMT_GOODS_PRICE AS FLOAT)",
+    "AGE_YEARS": "CAST(-DAYS_BIRTH / 365.25 AS FLOAT)",
+    "EMPLOYED_YEARS": "CASE WHEN DAYS_EMPLOYED <> 365243 THEN CAST(-DAYS_EMPLOYED / 365.25 AS FLOAT) END",
+    "EMPLOYED_AGE_RATIO": f32(_EMPLOYED, "DAYS_BIRTH"),
+    **{f"EXT_SOURCE_{k}": f"CAST({over(_FLOATS, how)} AS FLOAT)" for k, how in (("MEAN", "avg"), ("MIN", "min"), ("MAX", "max"), ("STD", "stddev_samp"))},
+    "EXT_SOURCE_COUNT": f"3 - ({_MISSING})",
+    "DOCUMENT_COUNT": "FLAG_DOCUMENT_2 + coalesce(FLAG_DOCUMENT_3, 0)",
+    "CONTACT_COUNT": "FLAG_MOBIL + coalesce(FLAG_PHONE, 0)",
+    "PHONE_CHANGE_YEARS": "CAST(-DAYS_LAST_PHONE_CHANGE / 365.25 AS FLOAT)",
+    "CHILDREN_RATIO": f32(*P.RATIOS["CHILDREN_RATIO"]),
+    **{f"HOUSING_NUMERIC_{s}_{k}": f"CAST({over([f'CAST(CAST({b}_{s} AS FLOAT) AS DOUBLE)' for b in ('APARTMENTS', 'BASEMENTAREA')], how)} AS FLOAT)" for s in ("AVG", "MODE", "MEDI") for k, how in (("MEAN", "avg"), ("MIN", "min"), ("MAX", "max"))},
+}
 
 
 @query("e02_families", f"{published(_E02, 'SK_ID_CURR')} FROM (SELECT SK_ID_CURR, {', '.join(f'{v} AS {k}' for k, v in _E02.items())} FROM ({APPLICATIONS}))")
