@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 STATS = ("count", "sum", "sum_observed", "mean", "min", "max", "last", "nunique", "std", "var")
-_UNSAFE = str.maketrans(dict.fromkeys('"\\[]{}:,', "_"))
+# The marks.
+UNSAFE = '"\\[]{}:,'
 
 
-def safe_name(name: str) -> str:
-    """Marks that model and file formats don't take become underscores."""
-    return name.translate(_UNSAFE)
+def safe_name(name):
+    """Marks that model and file formats don't take become underscores: in one name, or in a column of names."""
+    if isinstance(name, Column):
+        return F.translate(name, UNSAFE, "_" * len(UNSAFE))
+    return name.translate(str.maketrans(UNSAFE, "_" * len(UNSAFE)))
 
 
 @dataclass(frozen=True)

@@ -59,9 +59,8 @@ def merge_blocks(spark, d):
     FULL JOIN (SELECT o_custkey AS k, count(*) AS late FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' GROUP BY 1) b ON a.k = b.k""")
 def outer_merge(spark, d):
     early, late = F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp"), F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp")
-    # conditional counts in one pass; clients with neither are not in either side
-    g = table(spark, d, "orders").where(early | late).groupBy(F.col("o_custkey").alias("k"))
-    return g.agg(F.sum(F.when(early, 1)).alias("early"), F.sum(F.when(late, 1)).alias("late"))
+    counts = lambda rows, name: table(spark, d, "orders").where(rows).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias(name))
+    return A.merge_features(counts(early, "early"), counts(late, "late"), "k", "full")
 
 
 @query("one_to_one_check", "SELECT o_orderkey, o_custkey, n FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) USING (o_orderkey)")

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from riskloom.functions import numeric as N
+from riskloom.operators.aggregation import safe_name
+from riskloom.plans import marts as M
 from riskloom.plans.registry import query, table
 from riskloom.sources import tables as S
 
@@ -32,21 +34,19 @@ def audit_missing(spark, d):
 @query("target_distribution", "SELECT quality, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT * FROM labels UNION ALL SELECT -1, NULL, NULL) GROUP BY quality")
 def target_distribution(spark, d):
     extra = spark.createDataFrame([(-1, None, None)], "doc_id long, quality int, toxic int")
-    g = table(spark, d, "labels").unionByName(extra).groupBy("quality").agg(F.count("*").alias("n"))
-    total = g.agg(F.sum("n").alias("total"))
-    return g.join(F.broadcast(total)).select("quality", "n", R(F.col("n") / F.col("total")).alias("share"))
+    return S.distribution(table(spark, d, "labels").unionByName(extra), "quality").withColumn("share", R(F.col("share")))
 
 
-@query("duplicate_rows", "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+@query("duplicate_rows", "WITH t AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 2) SELECT (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_rows")
 def duplicate_rows(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
-    return g.agg(F.sum(F.col("count") - 1).alias("duplicate_rows"))
+    t = table(spark, d, "lineitem")
+    return S.repeated_rows(t.unionByName(t.where("l_linenumber = 2")))
 
 
 @query("key_overlap", "SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' INTERSECT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01')")
 def key_overlap(spark, d):
     o, cut = table(spark, d, "orders"), F.lit("1996-01-01").cast("timestamp")
-    return o.where(F.col("o_orderdate") < cut).select("o_custkey").intersect(o.where(F.col("o_orderdate") >= cut).select("o_custkey")).agg(F.count("*").alias("shared"))
+    return S.shared_keys(o.where(F.col("o_orderdate") < cut), o.where(F.col("o_orderdate") >= cut), "o_custkey")
 
 
 @query("compact_cast", "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity, round(sum(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE)), 2) AS price FROM lineitem GROUP BY l_orderkey")
@@ -107,10 +107,13 @@ def clamp_null(spark, d):
     return table(spark, d, "customer").select("c_custkey", N.at_least_zero(F.when(F.col("c_acctbal") <= 5000, F.col("c_acctbal"))).alias("balance"))
 
 
-@query("status_map", "SELECT l_orderkey, CAST(sum(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 END) AS BIGINT) AS severity, CAST(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN 1 ELSE 0 END) AS BIGINT) AS observed, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS past_due FROM lineitem GROUP BY l_orderkey")
+@query("status_map", """
+    WITH t AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'C' WHEN 'R' THEN CAST(l_linenumber % 7 AS VARCHAR) WHEN 'N' THEN 'X' END AS s FROM lineitem),
+    v AS (SELECT l_orderkey, CASE WHEN s = 'C' THEN 0 WHEN s IN ('0', '1', '2', '3', '4', '5') THEN CAST(s AS INTEGER) END AS v FROM t)
+    SELECT l_orderkey, CAST(sum(v) AS BIGINT) AS severity, count(v) AS observed, CAST(sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS BIGINT) AS past_due FROM v GROUP BY l_orderkey""")
 def status_map(spark, d):
-    s = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 1)
-    t = table(spark, d, "lineitem").select("l_orderkey", s.alias("s"))
+    status = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "R", (F.col("l_linenumber") % 7).cast("string")).when(F.col("l_returnflag") == "N", "X")
+    t = table(spark, d, "lineitem").select("l_orderkey", M.severity(status).alias("s"))
     return t.groupBy("l_orderkey").agg(F.sum("s").alias("severity"), F.sum(N.flag(F.col("s").isNotNull())).alias("observed"), F.sum(N.flag(F.col("s") > 0)).alias("past_due"))
 
 
@@ -123,4 +126,4 @@ def nested_status(spark, d):
 @query("safe_names", "SELECT p_partkey, translate(concat(p_brand, '[', p_type, ']:{', p_size, '}'), '\"\\[]{}:,', '________') AS name FROM part")
 def safe_names(spark, d):
     text = F.concat("p_brand", F.lit("["), "p_type", F.lit("]:{"), F.col("p_size").cast("string"), F.lit("}"))
-    return table(spark, d, "part").select("p_partkey", F.translate(text, '"\\[]{}:,', "________").alias("name"))
+    return table(spark, d, "part").select("p_partkey", safe_name(text).alias(safe_name("name")))

@@ -199,6 +199,25 @@ def audit(tables: dict[str, DataFrame], keys: dict[str, str | None] | None = Non
     return out
 
 
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """How many rows hold each value, and their share of all; missing is a value of its own."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.join(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """How many rows equal an earlier one in every column, as one row; missing values are alike."""
+    each = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    return each.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """How many keys stand on both sides, as one row; NULL is no key."""
+    left, right = (df.select(key).where(F.col(key).isNotNull()) for df in (left, right))
+    return left.intersect(right).agg(F.count("*").alias("shared"))
+
+
 def missing_summary(df: DataFrame, top: int | None = None) -> DataFrame:
     """A row per column: missing_count, missing_rate, dtype; most missing first."""
     kinds = dict(df.dtypes)
