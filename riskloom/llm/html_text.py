@@ -44,8 +44,10 @@ IMPLIED = {
     "body": ({"head"}, {"html"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?|[^<]+|<", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+# A quote opens a string only where a value begins; elsewhere it is a letter of a name or value.
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>]*"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:{_VALUE}))?|=)*)>?|[^<]+|<", re.S)
+_ATTR = re.compile(rf"(=?[^\s/>=]+)(?:\s*=\s*({_VALUE}))?")
 _DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
 _SELECTOR = re.compile(r"[.#]?[\w-]+")
 _CSS = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{};]|[^{};\"'/]+|.", re.S)
@@ -55,6 +57,24 @@ SCREEN = {"width": 1280.0, "height": 800.0}
 TRAITS = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "scripting": "enabled", "update": "fast"}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 256
+# The most columns and rows that a cell may span.
+WIDEST, TALLEST = 1000, 65534
+
+
+def _hides(name: str, value: str) -> bool | None:
+    """Whether a value of display or visibility hides; None where it says what the parent says."""
+    if name == "visibility" and value.lower() in ("inherit", "unset", "revert", "revert-layer"):
+        return None
+    return value.lower() in ("none", "hidden", "collapse")
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """What stands between a tag's name and its end; of repeated names the first holds."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        value = m[2] or ""
+        out.setdefault(m[1].lower(), value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1] else value)
+    return out
 
 
 def _pixels(value: str) -> float | None:
@@ -103,7 +123,7 @@ def on_screen(media: str) -> bool:
     return False
 
 
-def style_rules(sheet: str, order: int) -> Iterator[tuple[str, str, tuple, bool]]:
+def style_rules(sheet: str, order: int) -> Iterator[tuple[str, str, tuple, bool | None]]:
     """selector, property, weight (important, specificity, order) and whether it hides, of the rules for a screen."""
     stack, text = [True], ""
     opened: list[str] = []
@@ -131,7 +151,7 @@ def style_rules(sheet: str, order: int) -> Iterator[tuple[str, str, tuple, bool]
                         for selector in map(str.strip, head.split(",")):
                             if _SELECTOR.fullmatch(selector):
                                 special = 2 if selector[0] == "#" else 1 if selector[0] == "." else 0
-                                yield selector, d[1].lower(), (bool(d[3]), special, order), d[2].lower() in ("none", "hidden", "collapse")
+                                yield selector, d[1].lower(), (bool(d[3]), special, order), _hides(d[1].lower(), d[2])
             text = ""
         elif part == ";" and (not opened or opened[-1].startswith("@")):
             text = ""
@@ -142,16 +162,16 @@ def style_rules(sheet: str, order: int) -> Iterator[tuple[str, str, tuple, bool]
 class Block:
     """An open element: finished lines, the line in the making, and what its place asks for."""
 
-    __slots__ = ("cells", "drawn", "edge", "hidden", "inline", "lines", "marker", "mute", "number", "pre", "rows", "span", "tag", "text")
+    __slots__ = ("cells", "down", "drawn", "edge", "faint", "hidden", "inline", "kind", "lines", "marker", "mute", "number", "pre", "rows", "span", "tag", "text")
 
     def __init__(self, tag: str, hidden: bool, pre: bool, inline: bool):
         self.tag, self.hidden, self.pre, self.inline = tag, hidden, pre, inline
         self.lines: list[str] = []
         self.text: list[str] = []
-        self.edge = self.drawn = self.mute = False
+        self.edge = self.drawn = self.mute = self.faint = False
         self.rows: list | None = None
         self.cells: list | None = None
-        self.number, self.marker, self.span = 0, "", 1
+        self.number, self.marker, self.kind, self.span, self.down = 0, "", "1", 1, 1
 
     def end_line(self) -> None:
         line = "".join(self.text)
@@ -169,8 +189,46 @@ class Block:
             self.edge = apart
 
 
+def number(value: str | None, otherwise: int) -> int:
+    """A whole number of at most nine digits, or ``otherwise``."""
+    return int(value) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", value or "", re.A) else otherwise
+
+
+def numbered(n: int, kind: str) -> str:
+    """A list's number as its type has it: digits, letters or Roman numerals."""
+    out = ""
+    if kind in ("a", "A") and n > 0:
+        while n:
+            n, letter = divmod(n - 1, 26)
+            out = chr(ord(kind) + letter) + out
+    elif kind in ("i", "I") and 0 < n < 4000:
+        for worth, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, n = out + sign * (n // worth), n % worth
+        out = out.upper() if kind == "I" else out
+    return out or str(n)
+
+
+def filled(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of (lines, columns, rows spanned) as (lines, columns): a cell keeps its columns in the rows it reaches into."""
+    out, held = [], {}
+    for row in rows:
+        made, at = [], 0
+        below = {c: k - 1 for c, k in held.items() if k > 1}
+        for lines, span, down in row:
+            while at in held:
+                made.append(([], 1))
+                at += 1
+            made.append((lines, span))
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + span), down - 1)
+            at += span
+        out.append(made)
+        held = below
+    return out
+
+
 def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, span) as lines whose cells begin in the same column."""
+    """Rows of (lines, span) as lines whose cells begin in the same column; columns without a cell of their own take no room."""
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -183,8 +241,8 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
         for k in range(max((len(lines) for lines, _ in row), default=0)):
             at, parts = 0, []
             for lines, span in row:
-                wide = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(wide))
+                own = [widths[c] for c in range(at, at + span) if c in widths]
+                parts.append((lines[k] if k < len(lines) else "").ljust(sum(own) + 2 * (len(own) - 1)))
                 at += span
             out.append("  ".join(parts).rstrip())
     return out
@@ -195,9 +253,9 @@ class Page:
 
     def __init__(self) -> None:
         self.open = [Block("#root", False, False, False)]
-        self.deep: list[tuple[str, bool]] = []
+        self.deep: list[tuple[str, bool, bool]] = []
         self.deep_tags: Counter[str] = Counter()
-        self.rules: dict[str, dict[str, tuple[tuple, bool]]] = {}
+        self.rules: dict[str, dict[str, tuple[tuple, bool | None]]] = {}
         self.order = 0
 
     def style(self, sheet: str) -> None:
@@ -208,16 +266,20 @@ class Page:
             if name not in known or known[name][0] <= weight:
                 known[name] = weight, hides
 
-    def gone(self, tag: str, attrs: dict[str, str]) -> bool:
-        """Whether the hidden attribute, the rules for a tag, its classes and id, and its own style hide an element."""
-        now = {"display": ((False, -1, 0), "hidden" in attrs)}
+    def gone(self, tag: str, attrs: dict[str, str]) -> tuple[bool, bool | None]:
+        """Whether an element isn't displayed, and whether it is invisible (None: as its parent is).
+
+        The hidden attribute, the rules for a tag, its classes and id, and its own style say so. What isn't displayed
+        takes its children along; of what is invisible a child may be visible again.
+        """
+        now: dict[str, tuple[tuple, bool | None]] = {"display": ((False, -1, 0), "hidden" in attrs)}
         for name in {tag, *("." + c for c in attrs.get("class", "").split()), "#" + attrs.get("id", "")} if self.rules else ():
             for of, rule in self.rules.get(name, {}).items():
-                now[of] = max(now.get(of, rule), rule)
+                now[of] = rule if of not in now or now[of][0] <= rule[0] else now[of]
         for d in _DECLARATION.finditer(attrs.get("style", "")):
-            of, rule = d[1].lower(), ((bool(d[3]), 3, 0), d[2].lower() in ("none", "hidden", "collapse"))
+            of, rule = d[1].lower(), ((bool(d[3]), 3, 0), _hides(d[1].lower(), d[2]))
             now[of] = rule if of not in now or now[of][0] <= rule[0] else now[of]
-        return any(hides for _, hides in now.values())
+        return bool(now["display"][1]), now.get("visibility", (None, None))[1]
 
     def block(self) -> Block:
         """The nearest open element that holds lines."""
@@ -226,8 +288,11 @@ class Page:
     def hidden(self) -> bool:
         return self.deep[-1][1] if self.deep else self.open[-1].hidden
 
+    def faint(self) -> bool:
+        return self.deep[-1][2] if self.deep else self.open[-1].faint
+
     def words(self, text: str) -> None:
-        if self.hidden() or self.open[-1].mute:
+        if self.hidden() or self.faint() or self.open[-1].mute:
             return
         block = self.block()
         if block.rows is not None or block.cells is not None:
@@ -249,7 +314,7 @@ class Page:
 
     def surface(self, depth: int) -> None:
         """Close elements below the depth cap."""
-        for tag, hidden in reversed(self.deep[depth:]):
+        for tag, hidden, _ in reversed(self.deep[depth:]):
             self.deep_tags[tag] -= 1
             if tag in LINE and not hidden:
                 self.break_line()
@@ -272,20 +337,20 @@ class Page:
         if done.hidden:
             return
         if done.tag in _CELLS and into.cells is not None:
-            into.cells.append((done.lines, done.span))
+            into.cells.append((done.lines, done.span, done.down))
             return
         if done.tag == "tr" and (table := self.table()) is not None:
             if done.lines:
-                done.cells.append((done.lines, 1))
+                done.cells.append((done.lines, 1, 1))
             if done.cells:
                 table.rows.append(done.cells)
             return
         lines = done.lines
         if done.tag == "table":
-            lines = [*lines, *aligned(done.rows)]
+            lines = [*lines, *aligned(filled(done.rows))]
         if done.tag == "li" and lines:
             wide = " " * len(done.marker)
-            lines = [done.marker + lines[0], *[wide + x if x else x for x in lines[1:]]]
+            lines = [(wide if done.faint else done.marker) + lines[0], *[wide + x if x else x for x in lines[1:]]]
         elif done.tag in ("dd", "blockquote"):
             lines = ["  " + x if x else x for x in lines]
         elif done.tag == "hr":
@@ -326,7 +391,7 @@ class Page:
             self.close_to(found)
 
     def start(self, tag: str, raw: str) -> None:
-        attrs = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
+        attrs = attributes(raw) if raw.strip(" /") else {}
         drawn = self.open[-1].drawn
         if (drawn or tag in ("svg", "math")) and raw.rstrip().endswith("/"):
             return
@@ -341,24 +406,34 @@ class Page:
         if tag == "br":
             if not self.hidden():
                 block = self.block()
-                block.end_line() if "".join(block.text).strip() or block.pre else block.text.clear()
+                if "".join(block.text).strip() or block.pre:
+                    block.end_line()
+                else:
+                    # an empty line
+                    block.text.clear()
+                    block.edge = True
             return
         if tag in VOID:
-            if tag == "hr" and not self.hidden():
+            if tag == "hr" and not self.hidden() and not self.faint():
                 self.open.append(Block("hr", False, False, False))
                 self.close()
             elif tag == "img" and attrs.get("alt"):
                 self.words(html.unescape(attrs["alt"]))
+            elif tag == "input" and attrs.get("type", "").lower() in ("submit", "button", "reset") and attrs.get("value") and not self.gone(tag, attrs)[0] and not self.gone(tag, attrs)[1]:
+                self.words(html.unescape(attrs["value"]))
             return
-        unseen = tag in UNSEEN or (drawn and tag in DRAWN_UNSEEN) or (tag == "dialog" and "open" not in attrs) or self.gone(tag, attrs)
+        unseen = tag in UNSEEN or (drawn and tag in DRAWN_UNSEEN) or (tag == "dialog" and "open" not in attrs)
+        hides, faint = self.gone(tag, attrs)
+        unseen, faint = unseen or hides, self.faint() if faint is None else faint
         if self.deep or len(self.open) >= DEEPEST:
             if tag in LINE and not self.hidden():
                 self.break_line()
-            self.deep.append((tag, self.hidden() or unseen))
+            self.deep.append((tag, self.hidden() or unseen, faint))
             self.deep_tags[tag] += 1
             return
         label = drawn and tag == "text"
         new = Block(tag, self.hidden() or unseen, self.open[-1].pre or tag in ("pre", "listing", "xmp", "textarea"), tag not in LINE and tag != "textarea" and not label)
+        new.faint = faint
         new.drawn = tag in ("svg", "math") or (drawn and tag != "foreignobject")
         new.mute = tag == "svg" or (self.open[-1].mute and not label and tag != "foreignobject")
         if tag == "table":
@@ -366,14 +441,16 @@ class Page:
         elif tag == "tr" and self.table() is not None:
             new.cells = []
         elif tag in _CELLS:
-            new.span = min(max(int(attrs.get("colspan") or 1), 1), 100) if (attrs.get("colspan") or "1").isdigit() else 1
+            wide, down = number(attrs.get("colspan"), 1), number(attrs.get("rowspan"), 1)
+            new.span, new.down = min(max(wide, 1), WIDEST), min(down if down > 0 else TALLEST, TALLEST)
         elif tag in ("ol",):
-            new.number = int(attrs["start"]) - 1 if attrs.get("start", "").lstrip("-").isdigit() else 0
+            new.number = number(attrs.get("start"), 1) - 1
+            new.kind = attrs.get("type", "1")
         elif tag == "li":
             into = next((b for b in reversed(self.open) if b.tag in ("ol", "ul", "menu", "dir")), None)
             if into is not None and into.tag == "ol":
-                into.number += 1
-                new.marker = f"{into.number}. "
+                into.number = number(attrs.get("value"), into.number + 1)
+                new.marker = f"{numbered(into.number, attrs.get('type', into.kind))}. "
             else:
                 new.marker = "- "
         if not new.inline and not new.hidden:
@@ -421,7 +498,7 @@ def render(source: str | None) -> str:
     if re.search("<style", source, re.I):
         for m, body in tokens(source):
             if body is not None and m[2].lower() == "style":
-                media = next((x[2] or "" for x in _ATTR.finditer(m[3]) if x[1].lower() == "media"), "").strip("\"' ")
+                media = attributes(m[3]).get("media", "").strip()
                 if not media or on_screen(media):
                     page.style(body)
     for m, body in tokens(source):
