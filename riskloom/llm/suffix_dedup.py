@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from riskloom.llm.suffix_array import common_prefixes, suffix_array
 SPAN, WINDOW, GRAM = 400, 192, 8
 KEY = SPAN - WINDOW
 SEGMENT, SHARD, GROUP, STEP = 8 << 20, 1 << 20, 8 << 20, 16
-# Keys of over HOT rows, the HEAVY most frequent of them (so many at most are broadcast), get second keys.
+# Keys of over HOT rows get second keys; the HEAVY most frequent of them (so many at most) are broadcast.
 HOT, HEAVY, WINDOWS = 1024, 4096, 1 << 16
 
 
@@ -284,10 +285,14 @@ def spans(texts: DataFrame) -> DataFrame:
     found = stage(long.mapInArrow(_contexts, CONTEXTS_DDL), "repeats-contexts")
     # written first, so that the join reads two plain shuffles and Spark can split a key that very many texts share
     keys = stage(found.groupBy("key").agg(F.count("*").alias("rows"), (F.min("context") < F.max("context")).alias("mixed")).where("rows > 1"), "repeats-keys")
-    hot = F.broadcast(stage(keys.where(F.col("mixed") & (F.col("rows") > HOT)).orderBy(F.desc("rows"), "key").limit(HEAVY).select("key"), "repeats-hot"))
-    others = keys.join(hot, "key", "left_anti").select("key", "mixed", F.lit(False).alias("hot"))
-    hottest = found.join(hot, "key").select(*found.columns, F.lit(True).alias("mixed"), F.lit(True).alias("hot"))
-    again = stage(found.join(others, "key").select(*found.columns, "mixed", "hot").union(hottest), "repeats-again")
+    is_hot = F.col("mixed") & (F.col("rows") > HOT)
+    heavy = stage(keys.where(is_hot).orderBy(F.desc("rows"), "key").limit(HEAVY).select("key"), "repeats-hot")
+    any_hot = not heavy.isEmpty()
+    others = keys.join(F.broadcast(heavy), "key", "left_anti") if any_hot else keys
+    again = found.join(others.select("key", "mixed", is_hot.alias("hot")), "key").select(*found.columns, "mixed", "hot")
+    if any_hot:
+        again = again.union(found.join(F.broadcast(heavy), "key").select(*found.columns, F.lit(True).alias("mixed"), F.lit(True).alias("hot")))
+    again = stage(again, "repeats-again")
     covered = lambda df: df.select("t1", "t2", F.col("first").alias("start"), (F.col("last") + SPAN).alias("end"))
     mixed = again.where("mixed")
     distinct = stage(mixed.groupBy("key", "context", "hot").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")), "repeats-distinct")
@@ -302,12 +307,15 @@ def spans(texts: DataFrame) -> DataFrame:
     cut = texts.join(wanted, same).select("t1", "t2", "text", "wanted").mapInArrow(_cut, f"hot boolean, {TEXTS_DDL}")
     cut = stage(cut, "repeats-cut")
     searched = stage(cut.where("NOT hot").drop("hot").repartition("key").sortWithinPartitions("key", "context").mapInArrow(_shards, FOUND_DDL), "repeats-found")
-    parts_covered, part_windows = _of_hot_keys(cut.where("hot").drop("hot"))
-    counted = searched.where("h1 is not null").union(stage(part_windows, "repeats-windows"))
+    counted = searched.where("h1 is not null")
+    parts = [covered(again.where("not mixed")), covered(often), searched.where("h1 is null").select("t1", "t2", "start", "end")]
+    if any_hot:
+        parts_covered, part_windows = _of_hot_keys(cut.where("hot").drop("hot"))
+        counted = counted.union(stage(part_windows, "repeats-windows"))
+        parts.append(covered(parts_covered))
     twice = counted.groupBy("h1", "h2").agg(F.sum("many").alias("n")).where("n > 1").select("h1", "h2")
-    parts = [covered(again.where("not mixed")), covered(often), covered(parts_covered), searched.where("h1 is null").select("t1", "t2", "start", "end")]
     parts.append(counted.where("many = 1").join(twice, ["h1", "h2"], "left_semi").select("t1", "t2", "start", "end"))
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+    return reduce(DataFrame.union, parts)
 
 
 def merged(spans_of: list[tuple[int, int]]) -> list[list[int]]:

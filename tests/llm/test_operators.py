@@ -442,11 +442,18 @@ def repeated_rows():
     return rows + [rows[-1], (900, rows[-2][1], "a")]
 
 
-def test_repeats_match_brute_force(spark):
+@pytest.mark.parametrize(("hot", "heavy"), [(1024, 4096), (2, 4096), (2, 3)])
+def test_repeats_match_brute_force(spark, monkeypatch, hot, heavy):
+    """Also where keys get second keys, more of them than are broadcast."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    second_keys, called = suffix_dedup._of_hot_keys, []
+    monkeypatch.setattr(suffix_dedup, "_of_hot_keys", lambda cut: called.append(cut) or second_keys(cut))
     rows = repeated_rows()
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
     want = slow_removed([(t or "").encode() for _, t, _ in rows])
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *w) for (i, _, _), w in zip(rows, want))
+    assert bool(called) == (hot == 2)
     assert suffix_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
