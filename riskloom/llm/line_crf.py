@@ -170,26 +170,40 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+MODEL = ("weights", "stay", "calibration")
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the model of all the rows given; without both labels ``stay`` is empty."""
+    rows = sorted((i, q, t) for b in batches for i, q, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "quality", "text")), strict=True))
+    y = np.array([q for _, q, _ in rows])
+    if len(set(y.tolist())) < 2:
+        p = (y.sum() + 0.5) / (len(y) + 1)
+        model = {"weights": np.zeros(3 * OWN + 3), "stay": np.empty(0), "calibration": np.array([math.log(p / (1 - p)), 0.0])}
+    else:
+        x, weights, counts = line_features([t for _, _, t in rows])
+        model = train(x, weights, counts, y)
+    yield arrow_rows(pa.schema([(c, pa.list_(pa.float64())) for c in MODEL]), **{c: [model[c].tolist()] for c in MODEL})
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES, sample_chars: int = SAMPLE_CHARS) -> dict:
     """A model of at most ``sample`` labelled documents, the first by a hash of their id, none of them held out.
 
     The sample is drawn from texts of at most ``sample_lines`` lines and under ``sample_chars`` characters; others are
-    scored like all but not learnt from. Without such documents of both kinds the model gives every document the share
-    of label 1 (0.5 without any) and isn't ``fitted``.
+    scored like all but not learnt from. Of texts with one id the first in order is taken. One task learns from the
+    sample, whose bounds are its bounds too; only the model reaches the driver. Without such documents of both kinds
+    the model gives every document the share of label 1 (0.5 without any) and isn't ``fitted``.
     """
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ship(docs.sparkSession)
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     lines = F.length("text") - F.length(F.translate("text", "\n", ""))
     text = text.where((F.length("text") < sample_chars) & (lines < sample_lines))
     some = known.join(text.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    text = text.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(text.select("doc_id", "quality", F.col("text").cast("binary").alias("text")).collect())
-    y = np.array([r.quality for r in rows])
-    if len(set(y.tolist())) < 2:
-        p = (y.sum() + 0.5) / (len(y) + 1)
-        return {"weights": np.zeros(3 * OWN + 3), "stay": np.ones(4), "calibration": np.array([math.log(p / (1 - p)), 0.0]), "fitted": False}
-    x, weights, counts = line_features([bytes(r.text) for r in rows])
-    return train(x, weights, counts, y)
+    chosen = text.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").cast("binary").alias("text"))
+    learnt = chosen.repartition(1).mapInArrow(_learn, ", ".join(f"{c} array<double>" for c in MODEL)).collect()
+    model = {c: np.array(learnt[0][c]) for c in MODEL} if learnt else {"weights": np.zeros(3 * OWN + 3), "stay": np.empty(0), "calibration": np.zeros(2)}
+    return model if len(model["stay"]) else model | {"stay": np.ones(4), "fitted": False}
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
