@@ -363,6 +363,9 @@ def test_quality_samples_what_it_can_learn_from(spark):
     model = line_crf.fit(docs, labels, sample=10, sample_lines=20)
     assert model.get("fitted", True) and len(set(model["weights"].tolist())) > 1
     assert not line_crf.fit(docs, labels, sample_chars=5).get("fitted", True)
+    twice = frame(spark, [(i, t + "more\n", s) for i, t, s in rows] + rows)
+    one, other = (line_crf.fit(d, labels, sample=20, sample_lines=20) for d in (twice, twice.orderBy(F.desc("text"))))
+    assert all(np.array_equal(one[c], other[c]) for c in line_crf.MODEL)
     for few in (labels.limit(0), labels.where("quality = 0")):
         assert line_crf.accepted(docs, line_crf.fit(docs, few)).count() == len(rows)
 
@@ -408,6 +411,47 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_keeps_documents_that_fit_in_one_sequence(spark, tiny):
+    got = packing.pack(spark.read.parquet(f"{tiny}/documents.parquet")).collect()
+    fit = Counter(r.doc_id for r in got if r.doc_tokens <= 2048)
+    assert fit and sum(n == 1 for n in fit.values()) >= 0.9 * len(fit)
+    totals = Counter()
+    for r in got:
+        totals[r.sequence_id] += r.length
+    assert all(n == 2048 or n & (n - 1) == 0 for n in totals.values())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_packing_fills_any_shard(seed):
+    draw = random.Random(seed)
+    most = draw.choice([3, 60, 700, 1400, 2048])
+    whole = [draw.random() < (seed % 4) / 4 for _ in range(draw.choice([0, 1, 5, 200]))]
+    lengths = [2048 if w else draw.randint(1, most) for w in whole]
+    parts = {}
+    for sequence in packing.fill(lengths, whole):
+        n = sum(b - a for _, a, b in sequence)
+        assert n == 2048 or 0 < n < 2048 and n & (n - 1) == 0
+        for i, a, b in sequence:
+            parts.setdefault(i, []).append((a, b))
+    assert parts.keys() == set(range(len(lengths)))
+    for i, own in parts.items():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] == lengths[i] and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+
+
+def test_packing_classes_hold_a_fixed_count():
+    lengths = [1500, 1024, 1000, 600, 590, 580] + [2048] * 3
+    sequences = packing.fill(lengths, [False] * 6 + [True] * 3)
+    together = sorted(sorted(i for i, _, _ in s if i < 6) for s in sequences if any(i < 6 for i, _, _ in s))
+    assert together == [[0], [1, 2], [3, 4, 5]]
+
+
+def test_packing_deals_equal_rows_apart(spark):
+    got = packing.pack(frame(spark, [(None, None, "a")] * 5000), shard_tokens=500).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 5000 and max(sizes.values()) < 700
+
+
 def test_tokens_match_the_tokenizer():
     import pyarrow as pa
 
