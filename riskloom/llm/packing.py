@@ -46,9 +46,10 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin += n
             for at in range(0, n + 1, CAPACITY):
                 part = own[at : at + CAPACITY]
-                for c, value in zip(CUTS.names, (place, doc_id, at, len(part), n + 1, part.tobytes()), strict=True):
+                packed = part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()  # two bytes an id where they do
+                for c, value in zip(CUTS.names, (place, doc_id, at, len(part), n + 1, packed), strict=True):
                     rows[c].append(value)
-                place, held = place + 1, held + part.nbytes
+                place, held = place + 1, held + len(packed)
                 if held >= 8 << 20:
                     yield arrow_rows(CUTS, **rows)
                     rows, held = {f.name: [] for f in CUTS}, 0
@@ -120,8 +121,9 @@ def _packed(key: tuple, shard: pa.Table) -> pa.Table:
     for number, parts in enumerate(fill([r[2] for r in rows], [r[2] == CAPACITY < r[3] for r in rows])):
         offset = 0
         for i, a, b in parts:
-            doc_id, start, _, doc_tokens, ids = rows[i]
-            values = (doc_id, start + a, b - a, zlib.crc32(ids[4 * a : 4 * b]), doc_tokens, first + number, offset)
+            doc_id, start, length, doc_tokens, packed = rows[i]
+            ids = np.frombuffer(packed, f"<u{len(packed) // length}")[a:b].astype("<u4")
+            values = (doc_id, start + a, b - a, zlib.crc32(ids.tobytes()), doc_tokens, first + number, offset)
             for c, value in zip(PIECES.names, values, strict=True):
                 out[c].append(value)
             offset += b - a
