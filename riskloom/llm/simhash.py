@@ -38,6 +38,22 @@ MASKS = [_mask(t) for t in HALVES]
 FINE_MASKS = [_mask((*HALVES[k], *pair)) for k, *pair in FINE]
 
 
+def simhash(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes ``h``; 0 for none."""
+    tally = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        tally += _tally(h[at : at + (1 << 15)])
+    return _majority(tally, len(h))
+
+
+def _tally(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+
+
+def _majority(tally: np.ndarray, n: int) -> int:
+    return int(np.packbits(tally * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     """SimHash of lower-cased (A-Z) word shingles, repeats included; 0 for a text without words."""
     found = (text or b"").lower().split()
@@ -53,8 +69,8 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     for at in range(0, n, 1 << 15):
         upto = min(n, at + (1 << 15))
         h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[at:upto].tolist(), ends[at + words - 1 : upto + words - 1].tolist(), strict=True)], np.uint64)
-        tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(tally * 2 > n, bitorder="little").view(np.uint64)[0])
+        tally += _tally(h)
+    return _majority(tally, n)
 
 
 FP_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -217,14 +233,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("leading", pa.list_(pa.int64()))])
+ROWS = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("leading", pa.list_(pa.int64()))])
+
+
+def _near(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct ``sets`` (set, fp) whose fingerprints differ in 3 bits or fewer: those of one fingerprint
+    meet its least set, and these least ones each other by links()."""
+    least = stage(sets.groupBy("fp").agg(F.min("set").alias("least")), "similar-fp")
+    a, b = (least.select(F.col("fp").alias(c), F.col("least").alias(f"of_{c}")) for c in ("a", "b"))
+    apart = links(least.select("fp")).distinct().join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    one = sets.select("set", "fp").join(least, "fp").where("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b"))
+    return apart.union(one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that come first in their component: by doc_id (null last), then
     the hash of their text. Of rows alike in both one stays. Linked are texts whose sets of five-word shingles are
-    alike by 0.8 or more, not the fingerprints of ``near_duplicates``. Null and empty texts have the empty set and are
-    copies of each other; an empty table gives no rows; other columns, whatever their names, pass unread."""
+    alike by 0.8 or more. SimHash finds them first: fingerprints of these sets, the index of byte positions, the count
+    filter, 3 bits at most, then the exact check of the sets. Pairs whose fingerprints are further apart, which no
+    radius of such an index can promise, follow by their leading shingles, among what is not linked yet. Null and
+    empty texts have the empty set and are copies of each other; an empty table gives no rows; other columns, whatever
+    their names, pass unread."""
     ship(docs.sparkSession)
     common, rank = similar.common_shingles(docs, docs.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), "text")
@@ -233,13 +262,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches, "text"):
             found = [similar.shingles((t or "").encode()) for t in batch.column("text").to_pylist()]
             own = np.array([similar.identity(x) for x in found], np.uint64).view(np.int64)
+            fps = np.array([simhash(x) for x in found], np.uint64).view(np.int64)
+            pa.default_memory_pool().release_unused()
             leading = [similar.leading(x, common, rank).view(np.int64) for x in found]
-            yield arrow_rows(ROWS, doc_id=batch.column("doc_id"), t1=batch.column("t1"), set=own, n=[len(x) for x in found], leading=leading)
+            yield arrow_rows(ROWS, doc_id=batch.column("doc_id"), t1=batch.column("t1"), set=own, n=[len(x) for x in found], fp=fps, leading=leading)
 
-    rows = stage(texts.mapInArrow(keyed, "doc_id long, t1 long, set long, n long, leading array<long>"), "similar-rows")
+    rows = stage(texts.mapInArrow(keyed, "doc_id long, t1 long, set long, n long, fp long, leading array<long>"), "similar-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1")).alias("first")
-    sets = stage(rows.groupBy("set").agg(F.first("n").alias("n"), F.first("leading").alias("leading"), least), "similar-leading")
-    roots = components(similar.links(texts, sets))
+    sets = stage(rows.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("leading").alias("leading"), least), "similar-leading")
+    roots = components(similar.links(texts, sets, _near(sets)))
     grouped = sets.select("set", "first").join(roots, F.col("set") == F.col("node"), "left").select("first", F.coalesce("root", "set").alias("root"))
     winners = stage(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("w_doc"), F.col("first.t1").alias("w_t1")), "similar-winners")
     won = lambda df, t1: df["doc_id"].eqNullSafe(winners["w_doc"]) & (df[t1] == winners["w_t1"])

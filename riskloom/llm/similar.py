@@ -1,5 +1,6 @@
 """Pairs of texts whose sets of five-word shingles are alike by 0.8 or more (Jaccard), all of them.
 
+Pairs that fingerprints bring near (``simhash.py``) are checked first; what they leave apart goes through lists.
 Two such sets share a shingle among the first n // 5 + 1 of each in any order common to all, so lists are keyed by
 these. In that order rare shingles come first; those that a sample holds more than once come last, so that a passage
 of many texts makes no list. A list pairs what its sizes and places allow, and a pair counts once its whole sets were
@@ -58,6 +59,7 @@ SETS = pa.schema([("set", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 1 << 20):
         found = [shingles((t or "").encode()) for t in batch.column("text").to_pylist()]
+        pa.default_memory_pool().release_unused()
         yield arrow_rows(SETS, set=[np.uint64(identity(x)).view(np.int64) for x in found], shingles=[x.view(np.int64) for x in found])
 
 
@@ -143,22 +145,31 @@ def _alike(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage(pairs.join(one, "a").join(two, "b").where(9 * both >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b"), "similar-links")
 
 
-def links(texts: DataFrame, sets: DataFrame) -> DataFrame:
+def _lists(sets: DataFrame) -> DataFrame:
+    """The leading shingles of ``sets`` as rows of COLUMNS; root is their _root if they have one, else their set."""
+    root = F.coalesce("_root", "set") if "_root" in sets.columns else F.col("set")
+    rows = sets.select("set", "n", root.alias("root"), F.posexplode("leading").alias("at", "key"))
+    return rows.select("key", "set", F.col("n").cast("long"), F.col("at").cast("long"), "root")
+
+
+def links(texts: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs alike by 0.8 or more.
 
     ``texts``: doc_id, t1, text. ``sets``: set, n, leading and ``first``, the doc_id and t1 of a text that has it
-    (distinct sets).
+    (distinct sets). ``near``: distinct pairs (a, b), a < b, that are checked first; lists pair only what they leave apart.
     """
     shape = "a long, b long, key long"
-    lists = sets.select("set", "n", F.posexplode("leading").alias("at", "key")).select("key", "set", F.col("n").cast("long"), F.col("at").cast("long"), F.col("set").alias("root"))
+    rooted = lambda edges: components(edges).select(F.col("node").alias("set"), F.col("root").alias("_root"))
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "n", "set")
+    close = _alike(texts, sets, near)
+    lists = _lists(sets.join(rooted(close), "set", "left"))
     first = stage(by_key(lists).mapInArrow(_pairs(FEW), shape), "similar-pairs")
-    found = _alike(texts, sets, first.where("key is null").select("a", "b").distinct())
+    found = close.union(_alike(texts, sets, first.where("key is null").select("a", "b").distinct()))
     longer = first.where("key is not null").select("key").distinct()
     if longer.isEmpty():
         return found
-    roots = components(found).select(F.col("node").alias("set"), F.col("root").alias("_root"))
-    again = perhaps_in(lists.drop("root"), "key", longer, "long").where("long").drop("long")
+    roots = rooted(found)
+    again = perhaps_in(_lists(sets).drop("root"), "key", longer, "long").where("long").drop("long")
     apart = again.join(longer, "key", "left_semi").join(roots, "set", "left").select(*COLUMNS[:-1], F.coalesce("_root", "set").alias("root"))
     more = stage(by_key(apart).mapInArrow(_pairs(None), shape), "similar-more").select("a", "b").distinct()
     return found.union(_alike(texts, sets, more))
