@@ -27,6 +27,8 @@ from riskloom.llm.common import arrow_rows, pieces, ship, stage
 
 CAPACITY, CLASSES, END = 2048, 32, 1
 SHARD = 128 * CAPACITY
+# Bytes of text encoded, and of ids sent, at once: an executor holds several such chunks for each of its cores.
+CHUNK = 2 << 20
 
 CUTS = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -37,9 +39,10 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place = TaskContext.get().partitionId() << 40
     end_id = np.uint32(END)
     rows: dict[str, list] = {f.name: [] for f in CUTS}
-    held = 0
-    for batch in pieces(batches, "text", 8 << 20):
+    held, pool = 0, pa.default_memory_pool()
+    for batch in pieces(batches, "text", CHUNK):
         ids, counts = tokens.encode(batch.column("text"))
+        pool.release_unused()  # a worker would keep what splitting took, besides the JVM's own
         begin = 0
         for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
             own = np.append(ids[begin : begin + n], end_id).astype("<u4")
@@ -50,7 +53,7 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, value in zip(CUTS.names, (place, doc_id, at, len(part), n + 1, packed), strict=True):
                     rows[c].append(value)
                 place, held = place + 1, held + len(packed)
-                if held >= 8 << 20:
+                if held >= CHUNK:
                     yield arrow_rows(CUTS, **rows)
                     rows, held = {f.name: [] for f in CUTS}, 0
     yield arrow_rows(CUTS, **rows)

@@ -19,6 +19,8 @@ from tokenizers import Tokenizer
 
 MODEL, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
+# Stretches gathered at once: a whole batch's places would be several times its text.
+GATHER = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -47,13 +49,16 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     """flat ids of stretches, their starts and counts, the stretch of each place, the places' begin by text."""
     encoding, lengths = ranked()
     split = pc.split_pattern(texts, " ")
-    flat, begins = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    begins = split.offsets.to_numpy().astype(np.int64)
     begins = begins - begins[0]
-    coded = flat.dictionary_encode()
-    place, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    coded = split.flatten().dictionary_encode()
+    del split
+    place, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+    del coded
     odd = np.fromiter((not w or w[0].isspace() for w in distinct), bool, len(distinct))
     usable = [w for w, o in zip(distinct, odd, strict=True) if not o]
-    ids = np.array(encoding.encode_ordinary(" " + " ".join(usable)) if usable else [], np.uint32)
+    parts = (usable[k : k + GATHER // 4] for k in range(0, len(usable), GATHER // 4))
+    ids = np.concatenate([np.empty(0, np.uint32), *(np.array(encoding.encode_ordinary(" " + " ".join(p)), np.uint32) for p in parts)])
     ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in usable), np.int64, len(usable)))
     upto = np.searchsorted(np.cumsum(lengths[ids]), ends, side="left") + 1
     starts, counts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
@@ -62,14 +67,14 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     first = begins[:-1]
     inner = np.ones(len(place), bool)
     inner[first] = False
-    owner = np.repeat(np.arange(len(texts)), np.diff(begins))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(begins))
     slow = np.zeros(len(texts), bool)
     slow[owner[odd[place] & inner]] = True
     slow |= pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
     heads = [encode_one(texts[k].as_py()) if slow[k] else encode_one(distinct[place[f]]) if distinct[place[f]] else [] for k, f in enumerate(first.tolist())]
     head_counts = np.fromiter(map(len, heads), np.int64, len(heads))
     head_starts = len(ids) + np.cumsum(head_counts) - head_counts
-    place = np.where(inner, np.where(slow[owner], -1, place), -2)
+    place[inner & slow[owner]] = -1
     place[first] = len(distinct) + np.arange(len(texts))
     starts, counts = np.concatenate((starts, head_starts, [0])), np.concatenate((counts, head_counts, [0]))
     ids = np.concatenate((ids, np.fromiter((x for h in heads for x in h), np.uint32, int(head_counts.sum()))))
@@ -82,7 +87,11 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(texts):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     ids, starts, counts, place, begins = _words(texts)
-    n = counts[place]
-    upto = np.cumsum(n)
-    at = np.repeat(starts[place] - (upto - n), n) + np.arange(upto[-1])
-    return ids[at], np.add.reduceat(n, begins[:-1])
+    n = counts.astype(np.int32)[place]
+    out, begin = np.empty(int(n.sum()), np.uint32), 0
+    for k in range(0, len(place), GATHER):
+        own = n[k : k + GATHER]
+        upto = np.cumsum(own)
+        out[begin : begin + upto[-1]] = ids[np.repeat(starts[place[k : k + GATHER]] - (upto - own), own) + np.arange(upto[-1])]
+        begin += int(upto[-1])
+    return out, np.add.reduceat(n, begins[:-1], dtype=np.int64)

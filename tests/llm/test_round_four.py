@@ -1,11 +1,13 @@
-"""The named method of the pipeline's near-duplicate stage."""
+"""The named method of the pipeline's near-duplicate stage, and what encoding holds at once."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as C
-from riskloom.llm import similar, simhash
+from riskloom.llm import similar, simhash, tokens
 from test_pipeline import alike_components, prose
 
 
@@ -40,3 +42,16 @@ def test_simhash_of_sets_by_bits():
     h = np.array([random.Random(k).getrandbits(64) for k in range(40_001)], np.uint64)
     want = sum(1 << k for k in range(64) if 2 * int(((h >> np.uint64(k)) & np.uint64(1)).sum()) > len(h))
     assert simhash.simhash(h) == want and simhash.simhash(h[:0]) == 0 and simhash.simhash(h[:1]) == int(h[0])
+
+
+def test_encoding_holds_little_besides_the_ids():
+    r = random.Random(1)
+    words = prose(5, 3000).split()
+    texts = pa.array([" ".join(r.choices(words, k=500)) for _ in range(1000)])
+    tokens.encode(texts[:2])
+    tracemalloc.start()
+    ids, counts = tokens.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == len(ids) and peak < 16 * len(ids)
+    assert ids[counts[:-1].sum() :].tolist() == tokens.encode_one(texts[-1].as_py())
