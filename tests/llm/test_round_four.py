@@ -1,4 +1,4 @@
-"""The named method of the pipeline's near-duplicate stage, and what encoding holds at once."""
+"""The named method of the pipeline's near-duplicate stage, what encoding holds at once, and texts of one line."""
 
 import random
 import tracemalloc
@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline as C
-from riskloom.llm import similar, simhash, tokens
+from riskloom.llm import similar, simhash, suffix_dedup, tokens
+from test_operators import slow_removed
 from test_pipeline import alike_components, prose
 
 
@@ -55,3 +56,13 @@ def test_encoding_holds_little_besides_the_ids():
     tracemalloc.stop()
     assert counts.sum() == len(ids) and peak < 16 * len(ids)
     assert ids[counts[:-1].sum() :].tolist() == tokens.encode_one(texts[-1].as_py())
+
+
+def test_contexts_that_a_text_repeats_are_one_row(spark):
+    lines = b"one short line\n" * 700
+    batch = pa.RecordBatch.from_pydict({"t1": [1], "t2": [2], "text": [lines]})
+    rows = [r for b in suffix_dedup._contexts(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) < 10 and sum(r["own"] for r in rows) > 600
+    texts = [lines, lines + prose(3, 90).encode(), prose(4, 90).encode() + lines[:400], lines[:414], b"xy" * 400 + prose(3, 90).encode()]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(k, *w) for k, w in enumerate(slow_removed(texts))]
