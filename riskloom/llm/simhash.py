@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import similar
 from riskloom.llm.common import arrow_rows, perhaps_in, pieces, ship, stage, unused
-from riskloom.llm.graph import components
+from riskloom.llm.graph import stars
 
 BITS, SHARED, SEED, WORDS = 3, 5, 42, 3
 LIST = 4096
@@ -214,7 +214,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def _grouped(distinct: DataFrame, linked: DataFrame) -> DataFrame:
     """fp, least, root of its component under the links (a, b), for each distinct fp."""
-    return distinct.join(components(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(stars(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +270,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = stage(texts.mapInArrow(keyed, "doc_id long, t1 long, set long, n long, fp long, leading array<long>"), "similar-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1")).alias("first")
     sets = stage(rows.groupBy("set").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("leading").alias("leading"), least), "similar-leading")
-    roots = components(similar.links(texts, sets, _near(sets)))
+    roots = stars(similar.links(texts, sets, stage(_near(sets), "similar-near")))
     grouped = sets.select("set", "first").join(roots, F.col("set") == F.col("node"), "left").select("first", F.coalesce("root", "set").alias("root"))
     winners = stage(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("w_doc"), F.col("first.t1").alias("w_t1")), "similar-winners")
     won = lambda df, t1: df["doc_id"].eqNullSafe(winners["w_doc"]) & (df[t1] == winners["w_t1"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_rows, perhaps_in, pieces, shuffles_freed, stage
-from riskloom.llm.graph import components
+from riskloom.llm.graph import stars
 
 WORDS, SEED = 5, 42
 SAMPLE, COMMON, FEW = 16_384, 1 << 17, 64
@@ -159,17 +159,18 @@ def links(texts: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame:
     (distinct sets). ``near``: distinct pairs (a, b), a < b, that are checked first; lists pair only what they leave apart.
     """
     shape = "a long, b long, key long"
-    rooted = lambda edges: components(edges).select(F.col("node").alias("set"), F.col("root").alias("_root"))
+    rooted = lambda found: found.toDF("set", "_root")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "n", "set")
-    close = _alike(texts, sets, near)
+    # each search starts from the stars of the one before, which link what its links do
+    close = stars(_alike(texts, sets, near)).toDF("a", "b")
     lists = _lists(sets.join(rooted(close), "set", "left"))
     first = stage(by_key(lists).mapInArrow(_pairs(FEW), shape), "similar-pairs")
     found = close.union(_alike(texts, sets, first.where("key is null").select("a", "b").distinct()))
     longer = first.where("key is not null").select("key").distinct()
     if longer.isEmpty():
         return found
-    roots = rooted(found)
+    known = stars(found).toDF("a", "b")
     again = perhaps_in(_lists(sets).drop("root"), "key", longer, "long").where("long").drop("long")
-    apart = again.join(longer, "key", "left_semi").join(roots, "set", "left").select(*COLUMNS[:-1], F.coalesce("_root", "set").alias("root"))
+    apart = again.join(longer, "key", "left_semi").join(rooted(known), "set", "left").select(*COLUMNS[:-1], F.coalesce("_root", "set").alias("root"))
     more = stage(by_key(apart).mapInArrow(_pairs(None), shape), "similar-more").select("a", "b").distinct()
-    return found.union(_alike(texts, sets, more))
+    return known.union(_alike(texts, sets, more))
